@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: A word's last full stop or comma, as a word of its own: letters and punctuation are never in one pre-token, and white space is dropped.
-STOP = re.compile(r"(?<=[a-zA-Z])([.,])(?=[\x20\x09-\x0D]|\Z)")
+#: Punctuation that ends a word, as a word of its own: letters and punctuation are never in one pre-token, and white space is dropped. Without the apostrophe, which
+#: begins contractions, and the characters of special tokens.
+STOP = re.compile(r"(?<=[a-zA-Z])([!-&(-/:;=?@\[-`{}~]+)(?=[\x20\x09-\x0D]|\Z)")
 #: Words that hold these are encoded as they stand; so is all text but Latin letters, whose lower case every Unicode version agrees on.
 BEYOND_LATIN = re.compile("[^\x00-ɏ]")
 #: str.split() also cuts at these four separators, which regular expressions don't call white space.
@@ -16,6 +20,16 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = re.compile(r"[^\S\x1c-\x1f]+")
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself where it is printable Latin-1, else the next one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in printable]
+    return {b: chr(0x100 + hidden.index(b)) if b in hidden else chr(b) for b in range(256)}
+
+
+BYTE_CHARACTERS = _byte_characters()
+
+
 class WordEncoder:
     """Ids of a text under a tokenizer that drops white space and lower-cases: text -> packed ids of `dtype`.
 
@@ -31,9 +45,31 @@ class WordEncoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.whole, self.most, self.known = whole, most, {}
+        self.bare = None if whole else self._bare(tokenizer_json)
+
+    def _bare(self, tokenizer_json: str):
+        """The merges alone, for words that are one run of lower-case Latin letters: normalizing and cutting change nothing in those but their spelling in
+        byte characters. None if the tokenizer is built in another way, or a probe shows a difference."""
+        from tokenizers import Tokenizer
+
+        parts = json.loads(tokenizer_json)
+        steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        if parts.get("model", {}).get("type") != "BPE" or steps[-1].get("type") != "ByteLevel" or steps[-1].get("add_prefix_space"):
+            return None
+        self.bare = Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+        probe = ["the", "a", "straße", "élève", "mañana", "thereafter", "ñÿþæ", "zzzzqx"]
+        same = self._merged(probe) == self._packed(probe)
+        return self.bare if same else None
+
+    def _ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        found = (array("H" if self.dtype.itemsize == 2 else "I", e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        return [ids.tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes() for ids in found]
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._ids(self.tokenizer, texts)
+
+    def _merged(self, words: list[str]) -> list[bytes]:
+        return self._ids(self.bare, [w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_CHARACTERS) for w in words])
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         if self.whole:
@@ -43,9 +79,11 @@ class WordEncoder:
         if len(self.known) >= self.most:
             self.known.clear()
         new = list(set().union(*cut) - self.known.keys()) if cut else []
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            self.known.update(zip(some, self._packed(some), strict=True))
+        plain = [w for w in new if w.isalpha() and w.islower() and not BEYOND_LATIN.search(w)] if self.bare else []
+        for words, encode in ((plain, self._merged), (list(set(new).difference(plain)), self._packed)):
+            for at in range(0, len(words), 20_000):
+                some = words[at : at + 20_000]
+                self.known.update(zip(some, encode(some), strict=True))
         look = self.known.__getitem__
         for words in cut:
             yield b"".join(map(look, words))
