@@ -86,12 +86,11 @@ def kd(sample: DataFrame, attrs: list[str], k: int, least_rows: int = 2, target:
     columns = [*attrs, *([target] if target and target not in attrs else [])]
     rows = np.array([tuple(r) for r in sample.select(*columns).dropna().collect()], float).reshape(-1, len(columns))
     root: dict = {"rows": rows, "depth": 0, "split": None, "path": ""}
-    open_ = [root]
+    open_, spread = [root], columns.index(target) if target else 0
     n = 1
     while open_ and n < k:
-        score = lambda node: (node["depth"], -float(node["rows"][:, -1].var()) if target else 0.0, node["path"])
-        node = min(open_, key=score)
-        open_.remove(node)
+        score = lambda i: (open_[i]["depth"], -float(open_[i]["rows"][:, spread].var()) if target else 0.0, open_[i]["path"])
+        node = open_.pop(min(range(len(open_)), key=score))
         a = node["depth"] % len(attrs)
         if len(node["rows"]) <= least_rows or (v := median(node["rows"][:, a])) is None or not (node["rows"][:, a] < v).any():
             continue
