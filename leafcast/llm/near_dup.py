@@ -5,8 +5,8 @@ Steps, and what moves in each:
    sets form a class and go on as its smallest doc_id, so copies cost one row each.
 2. Band keys shared by two or more classes are buckets. Each member is paired with its bucket's smallest member (a star, not all pairs), and the pairs
    are verified on the full sets; the links are united.
-3. Buckets whose members aren't all in one component are opened again: members of different components are compared by signature, in blocks
-   of bounded size, and the likely ones verified as well. After this no pair of a bucket is left undecided.
+3. Buckets whose members aren't all in one component are opened again: members of different components are compared by signature and folded set, in blocks
+   of bounded size, and what passes is verified as well. After this no pair of a bucket is left undecided.
 4. Union-find runs in rounds of contraction over the links, each round a few aggregates and joins.
 """
 
@@ -162,16 +162,16 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """The full shingle sets (node, shingles array<long>) of rows (node, text)."""
+    """The full shingle sets (node, shingles array<long>, small: their upper halves, sorted) of rows (node, text)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches(parts, "text", 2_000_000):
             found = [shingles(t, known).view(np.int64) for t in batch.column("text").to_pylist()]
             ends = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))), pa.array([(s.view(np.uint64) >> U(32)).astype("<u4").tobytes() for s in found], pa.binary())], names=["node", "shingles", "small"])
 
-    return map_batches(docs, run, "node long, shingles array<long>")
+    return map_batches(docs, run, "node long, shingles array<long>, small binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,25 +212,39 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
     return (labels, held) if labels is not None else (spark.createDataFrame([], "node long, root long"), [])
 
 
-def _likely_pairs(group: pa.Table) -> pa.Table:
-    """Pairs of one block pair whose components differ, whose sizes allow 0.75 and whose signatures agree."""
-    node, root, n = (group.column(c).to_numpy() for c in ("node", "root", "n"))
+def _late_links(group: pa.Table) -> pa.Table:
+    """Pairs of one block pair whose components differ, whose sizes allow 0.75, whose signatures agree, and whose folded sets overlap enough.
+
+    A pair that shares several buckets is looked at in its first band alone. Folding sets to 32 bits can only add to an overlap, so no link is lost here;
+    what is returned is verified on the full sets afterwards. Nothing but such pairs leaves the task, however many members are alike.
+    """
+    node, root, n, band = (group.column(c).to_numpy() for c in ("node", "root", "n", "band"))
     first, second = group.column("first").to_numpy(zero_copy_only=False).astype(bool), group.column("second").to_numpy(zero_copy_only=False).astype(bool)
     sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
+    small = [np.frombuffer(x, "<u4") for x in group.column("small").to_pylist()]
     least = int(np.ceil(LEAST_AGREEMENT * sig.shape[1]))
     out_a, out_b = [], []
-    # rows of the component that most rows share need no row of their own: every pair has a row of another
+    # rows of the component that most rows share need no turn of their own: every pair has a row of another
     _, which, counts = np.unique(root, return_inverse=True, return_counts=True)
-    rare = np.flatnonzero(which != counts.argmax())
+    turn = np.flatnonzero(which != counts.argmax())
     late = np.full(len(node), len(node))
-    late[rare] = rare
-    for i in rare.tolist():
-        fits = ((first & second[i]) | (second & first[i])) & (root != root[i]) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n)
-        fits &= (late == len(node)) | (late > i)
+    late[turn] = turn
+    for i in turn.tolist():
+        fits = ((first & second[i]) | (second & first[i])) & (root != root[i]) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n) & (late > i)
         at = np.flatnonzero(fits)
-        at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
-        out_a += [min(node[i], node[k]) for k in at.tolist()]
-        out_b += [max(node[i], node[k]) for k in at.tolist()]
+        same = sig[at] == sig[i]
+        likely = same.sum(axis=1) >= least
+        at, same = at[likely], same[likely]
+        at = at[same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]]
+        own = small[i]
+        for k in at.tolist():
+            other = small[k]
+            place = np.searchsorted(own, other)
+            place[place == len(own)] = 0
+            common = int((own[place] == other).sum())
+            if 100 * common >= 75 * (n[i] + n[k] - common):
+                out_a.append(min(node[i], node[k]))
+                out_b.append(max(node[i], node[k]))
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
@@ -253,11 +267,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = filled.join(repeated.filter("low <> high").select("doc_id"), "doc_id").join(classes.select("digest", "node"), "digest")
     own_links = several.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
 
-    keyed = classes.select("node", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("k > 1")
-    # buckets with the same members ask the same question: one of them stays
-    buckets, p_buckets = stored(buckets.groupBy("lead", "k", "x").agg(F.min("key").alias("key")), "buckets")
-    within, p_within = stored(keyed.join(buckets, "key").select("key", "node", "lead", "k"), "within")
+    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = keyed.groupBy("key").agg(F.first("band").alias("band"), F.min("node").alias("lead"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("k > 1")
+    # buckets with the same members ask the same question: the one of the first band stays
+    buckets = buckets.groupBy("lead", "k", "x").agg(F.min(F.struct("band", "key")).alias("first")).select("lead", "k", "first.key")
+    buckets, p_buckets = stored(buckets, "buckets")
+    within, p_within = stored(keyed.join(buckets, "key").select("key", "band", "node", "lead", "k"), "within")
     texts = docs.join(within.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
     texts = texts.distinct() if repeats else texts
     sets, p_sets = stored(sets_of(texts.select(F.col("doc_id").alias("node"), "text").filter("text is not null")), "sets")
@@ -266,16 +281,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links, p_links = stored(links.unionByName(own_links) if repeats else links, "links")
     first, p_first = components(links)
 
-    rooted = within.alias("w").join(first.alias("c"), F.col("w.node") == F.col("c.node"), "left").select("w.key", "w.node", "w.k", F.coalesce("c.root", "w.node").alias("root"))
+    rooted = within.alias("w").join(first.alias("c"), F.col("w.node") == F.col("c.node"), "left").select("w.key", "w.band", "w.node", "w.k", F.coalesce("c.root", "w.node").alias("root"))
     rooted, p_rooted = stored(rooted, "rooted")
     undecided = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     # the star decided buckets of two members
-    opened = rooted.filter("k > 2").join(undecided, "key").join(classes.select("node", "n", "signature"), "node")
+    opened = rooted.filter("k > 2").join(undecided, "key").join(classes.select("node", "n", "signature"), "node").join(sets.select("node", "small"), "node")
     opened = opened.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     opened = opened.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    opened = opened.select("key", "i", "j", "node", "root", "n", "signature", (F.col("own") == F.col("i")).alias("first"), (F.col("own") == F.col("j")).alias("second"))
-    more = map_groups(opened, ["key", "i", "j"], _likely_pairs, "a long, b long").distinct()
+    opened = opened.select("key", "i", "j", "band", "node", "root", "n", "signature", "small", (F.col("own") == F.col("i")).alias("first"), (F.col("own") == F.col("j")).alias("second"))
+    more = map_groups(opened, ["key", "i", "j"], _late_links, "a long, b long").distinct()
     late, p_late = stored(verified(more, sets), "links")
     final, p_final = components(links.unionByName(late))
 
