@@ -178,7 +178,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= 75 * union."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.size("shingles").alias("na"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.size("shingles").alias("nb"))
-    both = pairs.join(left, "a").join(right, "b").filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * common >= 75 * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
@@ -272,8 +272,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # buckets with the same members ask the same question: the one of the first band stays
     buckets = buckets.groupBy("lead", "k", "x").agg(F.min(F.struct("band", "key")).alias("first")).select("lead", "k", "first.key")
     buckets, p_buckets = stored(buckets, "buckets")
-    within, p_within = stored(keyed.join(buckets, "key").select("key", "band", "node", "lead", "k"), "within")
-    texts = docs.join(within.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
+    within, p_within = stored(keyed.hint("merge").join(buckets, "key").select("key", "band", "node", "lead", "k"), "within")
+    # merge joins wherever texts, sets or band keys meet, so that the plan is the same at every size
+    texts = docs.hint("merge").join(within.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
     texts = texts.distinct() if repeats else texts
     sets, p_sets = stored(sets_of(texts.select(F.col("doc_id").alias("node"), "text").filter("text is not null")), "sets")
     stars = within.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
@@ -285,7 +286,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted, p_rooted = stored(rooted, "rooted")
     undecided = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     # the star decided buckets of two members
-    opened = rooted.filter("k > 2").join(undecided, "key").join(classes.select("node", "n", "signature"), "node").join(sets.select("node", "small"), "node")
+    opened = rooted.filter("k > 2").join(undecided, "key").join(classes.select("node", "n", "signature"), "node").join(sets.select("node", "small").hint("merge"), "node")
     opened = opened.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     opened = opened.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
