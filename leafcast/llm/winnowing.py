@@ -18,23 +18,24 @@ UNIT = r"[^\x20\x09-\x0D]{1,8}"
 
 
 def gram_hashes(units: Column) -> Column:
-    """Position and hash of each run of K units (of all units, if there are fewer): array of (h, pos)."""
+    """Hash and position of each run of K units (of all units, if there are fewer): array of (h: 15 hexadecimal digits, back: the position's negative), so that the
+    least struct is that of the least hash, the rightmost of equal ones."""
     runs = F.greatest(F.size(units) - (K - 1), F.least(F.size(units), F.lit(1)))
     starts = F.when(runs > 0, F.sequence(F.lit(0), runs - 1)).otherwise(F.array().cast("array<int>"))
     gram = lambda i: F.array_join(F.slice(units, i + 1, F.lit(K)), " ")
-    return F.transform(starts, lambda i: F.struct(F.conv(F.substring(F.md5(gram(i).cast("binary")), 1, 15), 16, 10).cast("long").alias("h"), i.alias("pos")))
+    return F.transform(starts, lambda i: F.struct(F.substring(F.md5(gram(i).cast("binary")), 1, 15).alias("h"), (-i).alias("back")))
 
 
 def _least_of_next(a: Column, step: int) -> Column:
-    """Elementwise least of a and a moved by `step`; the later one of equal hashes, the last element standing in beyond the end."""
-    later = lambda i: F.get(a, F.least(i + step, F.size(a) - 1))
-    return F.transform(a, lambda x, i: F.when(x["h"] < later(i)["h"], x).otherwise(later(i)))
+    """Elementwise least of a and a moved by `step`, the last element standing in beyond the end."""
+    return F.transform(a, lambda x, i: F.least(x, F.get(a, F.least(i + step, F.size(a) - 1))))
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds `name`: the fingerprint of column `text`, an array of (h, pos) in order of position; empty for null and blank texts.
 
-    Window minima come from log2(W) passes that double the span. Each step is a column of its own, so that no array is computed anew for each of its elements.
+    Window minima come from log2(W) passes that double the span. Each step is a column of its own, so that no array is computed anew for each of its elements. Hashes
+    become numbers once they are chosen.
     """
     others = [c for c in df.columns if c != name]
     t = "__step"
@@ -46,8 +47,9 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
         step = step.select(*others, _least_of_next(F.col(t), span).alias(t))
         span *= 2
     step = step.select(*others, F.slice(t, F.lit(1), F.greatest(F.size(t) - (W - 1), F.lit(1))).alias(t))
-    kept = F.filter(t, lambda x, i: (i == 0) | (F.get(F.col(t), i - 1)["pos"] != x["pos"]))
-    return step.select(*others, kept.alias(name))
+    step = step.select(*others, F.filter(t, lambda x, i: (i == 0) | (F.get(F.col(t), i - 1)["back"] != x["back"])).alias(t))
+    chosen = F.transform(t, lambda x: F.struct(F.conv(x["h"], 16, 10).cast("long").alias("h"), (-x["back"]).alias("pos")))
+    return step.select(*others, chosen.alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
