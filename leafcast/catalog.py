@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import HIGH, LOW
+from .config import HIGH, LOW, SynopsisConfig
 from .functions import geometry, scalars
 from .operators import accuracy, estimate, partition, sampling, summary, workload
 from .operators.partition import Leaves
@@ -289,6 +289,16 @@ def median_split(spark, sf):
     return leaves.table(spark).filter("leaf_id = 1").select(F.col("lo_l_quantity").alias("cut"))
 
 
+SAMP = KD[: KD.index("c1 AS")].rstrip().rstrip(",")
+MEDIANS = "c AS (SELECT " + ", ".join(f"(SELECT {a} FROM (SELECT {a}, row_number() OVER (ORDER BY {a}) AS rn, count(*) OVER () AS n FROM samp) WHERE rn = n // 2 + 1) AS {a}" for a in ND) + ")"
+SIDES = ", ".join(f"CASE WHEN b{i} = 0 THEN -1e308::DOUBLE ELSE c.{a} END AS lo_{a}, CASE WHEN b{i} = 0 THEN c.{a} ELSE 1e308::DOUBLE END AS hi_{a}" for i, a in enumerate(ND))
+
+
+@query(f"WITH {SAMP}, {MEDIANS} SELECT (4 * b0 + 2 * b1 + b2)::INTEGER AS leaf_id, {SIDES} FROM c, (VALUES (0), (1)) x(b0), (VALUES (0), (1)) y(b1), (VALUES (0), (1)) z(b2)")
+def cross_split(spark, sf):
+    return partition.cross(sampling.bottom(lineitem(spark, sf), 1024, *ND_KEY), list(ND)).table(spark)
+
+
 @query(f"WITH {KD} SELECT * FROM leaves")
 def kd_leaves(spark, sf):
     return line_leaves(lineitem(spark, sf)).table(spark)
@@ -467,6 +477,73 @@ def rebuild_vs_stale(spark, sf):
     return out
 
 
+@query(f"WITH {EV}, {cuts_sql()}, placed AS (SELECT * FROM ev JOIN leaves ON x >= lo_x AND x < hi_x) SELECT leaf_id, count(*) AS cnt, {SUM.format('value')} AS sum, count(*) FILTER (WHERE event_id % 4 <> 0 AND substr(sha256('s|' || event_id::VARCHAR), 1, 8) < '{scalars.below(RATE)}') AS sampled FROM placed GROUP BY leaf_id")
+def stats_only_update(spark, sf):
+    ev = events(spark, sf)
+    leaves = event_leaves(ev)
+    early, late = ev.filter("event_id % 4 <> 0"), ev.filter("event_id % 4 = 0").withColumn("op", F.lit("I"))
+    sums = summary.merge(summary.summarise(early, leaves, "value").select("leaf_id", "cnt", "sum"), summary.signed(late, leaves, "value"))
+    return sums.join(_sample(early, leaves).groupBy("leaf_id").agg(F.count("*").alias("sampled")), "leaf_id", "left").fillna(0, ["sampled"])
+
+
+INTERVALS = [(0, 499), (0, 63), (10, 10), (100, 300), (436, 499)]
+DECIMAL = "CAST(value AS DECIMAL(18,2))"
+
+
+@query(
+    f"WITH s AS (SELECT event_id, value, ts FROM events ORDER BY sha256('p|' || event_id::VARCHAR), event_id LIMIT 500), r AS (SELECT row_number() OVER w - 1 AS i, sum({DECIMAL}) OVER w AS s1, sum({DECIMAL} * {DECIMAL}) OVER w AS s2 FROM s WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), "
+    f"q AS (SELECT * FROM (VALUES {', '.join(map(str, INTERVALS))}) AS t(first, last)), f AS (SELECT (SELECT count(*) FROM events)::DOUBLE / (SELECT count(*) FROM s) AS f), "
+    "d AS (SELECT q.first, q.last, CAST(e.s1 - coalesce(b.s1, 0) AS DOUBLE) AS s1, CAST(e.s2 - coalesce(b.s2, 0) AS DOUBLE) AS s2 FROM q JOIN r e ON e.i = q.last LEFT JOIN r b ON b.i = q.first - 1) SELECT first, last, round(f * f * (s2 - s1 * s1 / (last - first + 1)), 2) AS variance FROM d, f"
+)
+def interval_variance(spark, sf):
+    ev = table(spark, sf, "events")
+    found = partition.interval_variance(sampling.bottom(ev, 500, "event_id"), ["ts", "event_id"], "value", ev.count(), INTERVALS)
+    return found.withColumn("variance", F.round("variance", 2))
+
+
+BATCH = [RangeQuery("value", (("x", DAY0 + i * 40000.0, DAY0 + i * 40000.0 + 90000.0 * (1 + i % 7)),)) for i in range(60)]
+
+
+@query(f"{BASE}, {hybrid_sql(BATCH, ('x',), 'value', 'leaves')} {ANSWER.replace(', 4)', ', 6)')}")
+def query_batch(spark, sf):
+    ev = events(spark, sf)
+    leaves = event_leaves(ev)
+    found = estimate.hybrid(BATCH, leaves.table(spark), summary.summarise(ev, leaves, "value"), _sample(ev, leaves), "value", ["x"])
+    # six places: at four, some of these averages lie on a half, where the order of additions decides
+    return found.withColumns({c: F.round(c, 6) for c in ("cnt", "sum", "avg")})
+
+
+@query("SELECT event_id, value FROM events WHERE event_id % 10 = 0")
+def fetch_rows(spark, sf):
+    ev = table(spark, sf, "events").select("event_id", "value")
+    incoming = tables.to_lines(ev.filter("event_id % 10 = 0")).select(scalars.line_hash(F.col("value")).alias(tables.HASH))
+    return tables.fetch(tables.parse_lines(tables.to_lines(ev), ev.schema), incoming).select("event_id", "value")
+
+
+PROFILED = ("l_quantity", "l_discount", "l_tax")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column, count({c}) AS cnt, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, min({c}) AS min, " + ", ".join(f"round(quantile_cont({c}, {p / 100}), 6) AS p{p}" for p in (25, 50, 75)) + f", max({c}) AS max FROM lineitem" for c in PROFILED))
+def column_profile(spark, sf):
+    found = accuracy.profile(lineitem(spark, sf), *PROFILED)
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "std", "p25", "p50", "p75")})
+
+
+LEAF_COUNTS, ROW_BYTES = (128, 256, 512, 1024), 65.65
+
+
+@query(f"SELECT k, round(1.2 * (0.01 * n * {ROW_BYTES} + k * 1024) / 1e6, 6) AS mb FROM (SELECT count(*)::DOUBLE AS n FROM lineitem), (VALUES {', '.join(f'({k})' for k in LEAF_COUNTS)}) t(k)")
+def storage_estimate(spark, sf):
+    n = lineitem(spark, sf).count()
+    return spark.createDataFrame([(k, round(SynopsisConfig(leaves=k).storage_mb(n, ROW_BYTES), 6)) for k in LEAF_COUNTS], "k int, mb double")
+
+
+@query("SELECT o_orderkey, substr(sha1('k:[' || o_orderkey || ', ' || o_custkey || ']'), 1, 10) AS predicate_id FROM orders")
+def predicate_id(spark, sf):
+    text = F.concat(F.lit("k:["), F.col("o_orderkey").cast("string"), F.lit(", "), F.col("o_custkey").cast("string"), F.lit("]"))
+    return table(spark, sf, "orders").select("o_orderkey", scalars.predicate_id(text).alias("predicate_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

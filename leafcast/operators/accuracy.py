@@ -23,3 +23,13 @@ def percentiles(found: DataFrame, column: str, shares: tuple[float, ...] = (0.25
 
 def worst(found: DataFrame, n: int = 10, by: str = "err_cnt", on: str = "qid") -> DataFrame:
     return found.orderBy(F.desc(by), on).limit(n)
+
+
+def profile(df: DataFrame, *columns: str) -> DataFrame:
+    """column, cnt, mean, std, min, p25, p50, p75, max of each column, for results and columns of few distinct values (percentiles are exact)."""
+    out = []
+    for c in columns:
+        quartiles = F.percentile(c, F.array(*map(F.lit, (0.25, 0.5, 0.75))))
+        named = {"cnt": F.count(c), "mean": F.avg(F.col(c)), "std": F.stddev_samp(c), "min": F.min(c).cast("double"), "q": quartiles, "max": F.max(c).cast("double")}
+        out.append(F.struct(F.lit(c).alias("column"), *(v.alias(k) for k, v in named.items())))
+    return df.agg(F.array(*out).alias("a")).select(F.inline("a")).select("column", "cnt", "mean", "std", "min", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))), "max")

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import HIGH, LOW
 
@@ -106,6 +107,30 @@ def kd(sample: DataFrame, attrs: list[str], k: int, least_rows: int = 2, target:
     return Leaves.of(attrs, tree(root))
 
 
+def cross(sample: DataFrame, attrs: list[str]) -> Leaves:
+    """All attributes split at once at their medians over the sample: up to 2 ** len(attrs) boxes. An attribute whose values are all equal isn't split."""
+    rows = np.array([tuple(r) for r in sample.select(*attrs).dropna().collect()], float).reshape(-1, len(attrs))
+    cuts = [(a, v) for i, a in enumerate(attrs) if (v := median(rows[:, i])) is not None]
+
+    def tree(depth: int):
+        return 0 if depth == len(cuts) else (*cuts[depth], tree(depth + 1), tree(depth + 1))
+
+    return Leaves.of(attrs, tree(0))
+
+
+def interval_variance(sample: DataFrame, order: list[str], target: str, population: int, intervals: list[tuple[int, int]]) -> DataFrame:
+    """first, last, variance of stretches of a bounded sample in order (rows counted from 0, both ends included), from running sums; what VarianceOracle takes the maximum of."""
+    n = sample.count()
+    v, whole = F.col(target).cast("decimal(18,2)"), Window.orderBy(*order)  # a bounded sample: one task suffices
+    upto = whole.rowsBetween(Window.unboundedPreceding, 0)
+    sums = sample.select((F.row_number().over(whole) - 1).alias("i"), F.sum(v).over(upto).alias("s1"), F.sum(v * v).over(upto).alias("s2"))
+    asked = sample.sparkSession.createDataFrame(intervals, "first int, last int")
+    at = asked.join(sums.alias("e"), F.col("last") == F.col("e.i")).join(sums.alias("b"), F.col("first") - 1 == F.col("b.i"), "left")
+    less = lambda c: (F.col(f"e.{c}") - F.coalesce(F.col(f"b.{c}"), F.lit(0))).cast("double")
+    by = population / max(n, 1)
+    return at.select("first", "last", (F.lit(by * by) * (less("s2") - less("s1") * less("s1") / (F.col("last") - F.col("first") + 1))).alias("variance"))
+
+
 class VarianceOracle:
     """Largest error a query inside an interval of sorted sample rows may have: the maximum over the whole interval and a fixed grid of sub-intervals."""
 

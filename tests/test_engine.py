@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafcast import catalog, config
 from leafcast.functions.scalars import arithmetic
-from leafcast.operators import estimate, partition, sampling, summary, workload
+from leafcast.operators import accuracy, estimate, partition, sampling, summary, workload
 from leafcast.plans.query import RangeQuery
 from leafcast.sources import tables
 from leafcast.synopsis import Synopsis
@@ -143,3 +143,12 @@ def test_empty_table(spark):
     leaves = partition.equal_depth(df, "x", 4)
     found = estimate.hybrid([RangeQuery("v", ())], leaves.table(spark), summary.summarise(df, leaves, "v"), df.withColumn("leaf_id", leaves.leaf_id()), "v", ["x"]).first()
     assert (found["cnt"], found["sum"], found["avg"]) == (0.0, 0.0, None)
+
+
+def test_profile_and_cross_split_of_small_tables(spark):
+    one = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (None, 5.0)], "a double, b double")
+    got = {r["column"]: r for r in accuracy.profile(one, "a", "b").collect()}
+    assert (got["a"]["cnt"], got["a"]["mean"], got["a"]["p50"], got["b"]["std"]) == (2, 1.5, 1.5, 0.0)
+    leaves = partition.cross(one, ["a", "b"])  # b is constant: it isn't split
+    assert [box[0] for box in leaves.boxes] == [(config.LOW, 2.0), (2.0, config.HIGH)]
+    assert len(partition.cross(one.limit(0), ["a", "b"]).boxes) == 1
