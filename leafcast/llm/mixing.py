@@ -13,8 +13,9 @@ from .common import WORD, stored
 
 #: Words a document may be taken, as a multiple of its size.
 MOST_REPEATS = 2
-#: Distinct sources and membership patterns that the driver plans for; more are refused rather than dropped.
-MOST_PATTERNS = 5000
+#: Membership patterns that the driver plans for; more are refused rather than dropped. Connected parts are planned one by one, so this bounds the driver's
+#: memory; only overlaps cost more than time in proportion.
+MOST_PATTERNS = 200_000
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = MOST_REPEATS) -> dict[str | None, float]:
@@ -42,6 +43,32 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
 def route(patterns: dict[tuple, int], quotas: dict[str | None, int], repeats: int = MOST_REPEATS) -> dict[tuple, dict[str | None, int]]:
     """Min-cost flow of words from patterns (sets of sources, with their words) to source quotas.
 
+    Sources that no chain of patterns joins share nothing, so each connected part is a flow of its own: without overlaps, the work is in
+    proportion to the number of sources.
+    """
+    parent: dict = {}
+
+    def top(s):
+        while parent.setdefault(s, s) != s:
+            parent[s] = s = parent[parent[s]]
+        return s
+
+    for p in patterns:
+        for s in p[1:]:
+            parent[top(s)] = top(p[0])
+    parts: dict = {}
+    for p, n in patterns.items():
+        parts.setdefault(top(p[0]) if p else (), {})[p] = n
+    out: dict[tuple, dict[str | None, int]] = {}
+    for some in parts.values():
+        names = dict.fromkeys(s for p in some for s in p if s in quotas)
+        out |= _flow(some, {s: quotas[s] for s in names}, repeats)
+    return out
+
+
+def _flow(patterns: dict[tuple, int], quotas: dict[str | None, int], repeats: int) -> dict[tuple, dict[str | None, int]]:
+    """The flow of one connected part.
+
     A pattern's k-th pass over its documents costs k * k per word (convex, so first passes are spent first, wherever that is possible), and each pass holds its words
     once. Successive cheapest paths with potentials; the graph has a node for each pattern and source, whatever the number of documents.
     """
@@ -140,14 +167,14 @@ def mix(docs: DataFrame, sources: Column, wanted=targets, seed: int = 17, carry:
     most = max((r["n"] for r in totals), default=1)
     bits = min(16, max(1, (most // 64).bit_length()))
     bucket = F.shiftrightunsigned("place", 64 - bits).alias("bucket")
-    # array-valued keys are hashed once; equal patterns get equal keys, and the plan is joined by the array itself
-    key = F.xxhash64("members").alias("key")
+    # a pattern's 64-bit key; nulls are marked, as the hash of an array passes over them: [a] and [a, null] would be one
+    key = F.xxhash64(F.transform("members", lambda m: F.struct(m.isNull(), m))).alias("key")
     held = sized.withColumns({"bucket": bucket, "key": key})
     sums = held.groupBy("key", "bucket").agg(F.sum("size").alias("within"))
     before = sums.select("key", "bucket", (F.sum("within").over(Window.partitionBy("key").orderBy("bucket")) - F.col("within")).alias("before"))
     inner = Window.partitionBy("key", "bucket").orderBy("place", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     at = held.join(before, ["key", "bucket"]).withColumn("low", F.col("before") + F.sum("size").over(inner) - F.col("size"))
-    at = at.join(plan.withColumn("key", F.xxhash64("members")).drop("members"), "key")
+    at = at.join(plan.withColumn("key", key).drop("members"), "key")
 
     def overlap(start: Column, s: Column) -> Column:
         return F.greatest(F.lit(0), F.least(start + F.col("size"), s["high"]) - F.greatest(start, s["low"])).cast("long")

@@ -145,6 +145,29 @@ def test_overlapping_sources(spark):
     assert total == {"a": 150, "b": 90}
 
 
+def test_null_source_beside_another(spark):
+    table = spark.createDataFrame([(i, "w " * 10, ["a", None] if i % 2 else ["a"]) for i in range(20)], "doc_id long, text string, of array<string>")
+    got = rows(mixing.mix(table, F.col("of"), lambda s: {"a": 120.0, None: 60.0}))
+    total = Counter()
+    for r in got:
+        for s in r["shares"]:
+            total[s["source"]] += s["words"]
+    assert len(got) == 20 and total == {"a": 120, None: 60}
+
+
+def test_flow_of_many_sources_by_parts():
+    many = {(f"s{i}",): 10 + i % 7 for i in range(20_000)}
+    quotas = {p[0]: 2 * n if i % 2 else n // 2 for i, (p, n) in enumerate(many.items())}
+    assert {p[0]: sum(f.values()) for p, f in mixing.route(many, quotas).items()} == quotas
+    rng = random.Random(5)
+    for _ in range(40):
+        names = [*"abcd", None]
+        patterns = {tuple(sorted(rng.sample(names, rng.choice((1, 1, 2))), key=lambda s: (s is None, s or ""))): rng.randint(0, 30) for _ in range(4)}
+        quotas = {s: rng.randint(0, 40) for s in {s for p in patterns for s in p}}
+        cost = lambda flow: (sum(sum(f.values()) for f in flow.values()), -sum(max(0, sum(f.values()) - patterns[p]) for p, f in flow.items()))
+        assert cost(mixing.route(patterns, quotas)) == cost(mixing._flow(patterns, quotas, 2))
+
+
 def naive_quality(text):
     import re
 
