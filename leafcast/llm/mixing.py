@@ -16,6 +16,8 @@ MOST_REPEATS = 2
 #: Membership patterns that the driver plans for; more are refused rather than dropped. Connected parts are planned one by one, so this bounds the driver's
 #: memory; only overlaps cost more than time in proportion.
 MOST_PATTERNS = 200_000
+#: Bits of a document's place in the seeded order.
+PLACE_BITS = 60
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = MOST_REPEATS) -> dict[str | None, float]:
@@ -130,6 +132,11 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def place(seed: int) -> Column:
+    """A document's place in the seeded order: the first 15 hexadecimal digits of the MD5 of `seed:doc_id` as a number (no id: `seed:`), which SQL engines agree on."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, sources: Column, wanted=targets, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words the mix takes of every document.
 
@@ -142,7 +149,7 @@ def mix(docs: DataFrame, sources: Column, wanted=targets, seed: int = 17, carry:
     Sizes go through a written table, so texts are read once. No pattern is gathered in one task: positions come from sums by hash bucket.
     """
     spark = docs.sparkSession
-    sized, _ = stored(docs.select("doc_id", words(F.col("text")).alias("size"), F.array_sort(F.array_distinct(sources)).alias("members"), F.xxhash64(F.lit(seed), "doc_id").alias("place"), *carry), "sizes")
+    sized, _ = stored(docs.select("doc_id", words(F.col("text")).alias("size"), F.array_sort(F.array_distinct(sources)).alias("members"), place(seed).alias("place"), *carry), "sizes")
     totals = sized.groupBy("members").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(totals) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -166,7 +173,7 @@ def mix(docs: DataFrame, sources: Column, wanted=targets, seed: int = 17, carry:
     # documents before one in its pattern's order: sums of whole buckets, then a running sum within the bucket
     most = max((r["n"] for r in totals), default=1)
     bits = min(16, max(1, (most // 64).bit_length()))
-    bucket = F.shiftrightunsigned("place", 64 - bits).alias("bucket")
+    bucket = F.shiftrightunsigned("place", PLACE_BITS - bits).alias("bucket")
     # a pattern's 64-bit key; nulls are marked, as the hash of an array passes over them: [a] and [a, null] would be one
     key = F.xxhash64(F.transform("members", lambda m: F.struct(m.isNull(), m))).alias("key")
     held = sized.withColumns({"bucket": bucket, "key": key})

@@ -116,5 +116,51 @@ JOIN full_lists x ON x.doc_id = n.next_id AND x.kind = 0
 """
 
 
+#: Documents have one source each here, so the flow fills every source from its own words, and a source's target is a level that rises until all sources
+#: hold 150% of the words: sources in ascending order of the level that fills them twice, the first that isn't filled sets it.
+OP4_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INTEGER + 1]::DOUBLE AS weight
+  FROM sized GROUP BY source),
+levels AS (
+  SELECT source, source_size, weight, row_number() OVER o AS r,
+         (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - 2 * (sum(source_size) OVER o - source_size)::DOUBLE) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level
+  FROM sources WINDOW o AS (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+final AS (SELECT level FROM levels WHERE level * weight <= 2 * source_size ORDER BY r LIMIT 1),
+targets AS (
+  SELECT source, source_size, least(f.level * weight, 2 * source_size::DOUBLE) AS target, round_even(least(f.level * weight, 2 * source_size::DOUBLE), 0)::BIGINT AS quota
+  FROM levels, final f),
+placed AS (
+  SELECT doc_id, source, size,
+         (sum(size) OVER (PARTITION BY source ORDER BY substring(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 15), doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS low
+  FROM sized)
+SELECT p.doc_id, p.size, t.source_size, t.target,
+       greatest(0, least(p.size, t.quota - p.low)) + greatest(0, least(p.size, t.quota - t.source_size - p.low)) AS taken, p.source
+FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+#: For tables whose doc_ids are all different. Pairs come from an equality join on shingles, which suits tables of some thousand documents.
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+places AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_have FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * both_have >= 75 * (p.n + q.n - both_have)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM sizes
+  UNION
+  SELECT r.doc_id, w.b FROM reach r JOIN ways w ON w.a = r.other),
+least_reached AS (SELECT doc_id, min(other) AS component FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, d.doc_id IS NOT DISTINCT FROM coalesce(c.component, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_reached c ON c.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_fingerprints": OP1_SQL}
+    return {"op1_fingerprints": OP1_SQL, "op4_mix_sources": OP4_SQL, "op10_near_duplicates": OP10_SQL}

@@ -126,6 +126,39 @@ def test_mixing(spark, docs, edge, empty):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mix_sources(edge).count() == len(EDGE)
 
 
+def sql_rows(sql, found, columns):
+    """Rows of the SQL over a list of documents, as sorted tuples in the order of columns."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    if found:
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [list(r) for r in found])
+    return sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall(), key=repr)
+
+
+def test_mixing_and_near_duplicates_against_sql(spark, docs):
+    found = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    for sql, run in ((queries.OP4_SQL, queries.op4_mix_sources), (queries.OP10_SQL, queries.op10_near_duplicates)):
+        got = run(spark, SF)
+        assert sorted(map(tuple, got.collect()), key=repr) == sql_rows(sql, found, got.columns)
+
+
+def test_mixing_of_edge_cases_against_sql(edge, empty):
+    uneven = [(i, " ".join(["w"] * (i % 7 * n)), None, s, 0) for s, n in (("a", 1), ("b", 40), (None, 3), ("é", 9), ("z", 0)) for i in range(30)]
+    for found in (EDGE, uneven, []):
+        df = edge.sparkSession.createDataFrame(found, DOCS)
+        got = mixing.mix_sources(df)
+        assert sorted(map(tuple, got.collect()), key=repr) == sql_rows(queries.OP4_SQL, found, got.columns)
+
+
+def test_near_duplicates_of_edge_cases_against_sql(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(80)]
+    found = [(i, " ".join(f"x{rng.randrange(9**6)}" if rng.random() < 0.01 * (i % 8) else w for w in base), None, None, 0) for i in range(60)]
+    found += [(100 + i, t, None, None, 0) for i, t in enumerate((None, "", " \n", "A b", "a B", "a b c", "É e", "é e", "a b c d e", "A B C D E"))]
+    got = near_dup.near_duplicates(spark.createDataFrame(found, DOCS))
+    assert sorted(map(tuple, got.collect()), key=repr) == sql_rows(queries.OP10_SQL, found, got.columns)
+
+
 def test_targets_and_flow():
     assert mixing.targets({"a": 10, "b": 100, None: 100}) == {"a": 20.0, "b": pytest.approx(295 * 2 / 3), None: pytest.approx(295 / 3)}
     flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 5}, {"a": 22, "b": 18})
