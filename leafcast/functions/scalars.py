@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import math
 import operator
 
 from pyspark.sql import Column
@@ -52,9 +53,27 @@ def close(a: Column, b: Column, within: float = 1e-4) -> Column:
     return F.abs(a - b) <= within
 
 
+def amount(c: Column) -> Column:
+    """Two decimals, so that sums are the same in any order of rows."""
+    return c.cast("decimal(18,2)")
+
+
 def exact_sum(c: Column) -> Column:
     """Sum of amounts with two decimals, the same in any order of rows."""
-    return F.sum(c.cast("decimal(18,2)")).cast("double")
+    return F.sum(amount(c)).cast("double")
+
+
+def count_at_most(value: Column, edges: list[float]) -> Column:
+    """How many of the edges, which are in ascending order, are at most the value; 0 for null.
+
+    A look at the first edge of each stretch, then at the edges of one stretch, with about the square root of their number in each. The edges are one literal."""
+    if not edges:
+        return F.lit(0)
+    n = math.isqrt(len(edges) - 1) + 1
+    listed = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>")
+    below = lambda a: F.size(F.filter(a, lambda e: e <= value))
+    before = below(listed(edges[::n])) - 1
+    return F.when(value.isNull() | (before < 0), 0).otherwise(before * n + below(F.slice(listed(edges), F.greatest(before, F.lit(0)) * n + 1, n)))
 
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg, ast.UAdd: operator.pos}

@@ -7,21 +7,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as g
-from ..functions.scalars import exact_sum, salted
+from ..functions.scalars import amount, count_at_most, exact_sum, salted
 from ..plans.query import RangeQuery, query_table
 
 
+#: Queries that get an aggregate each; larger workloads go by cells or by a join, whose plans don't grow with the workload.
+FEW = 16
+
+
+def by_query(df: DataFrame, queries: list[RangeQuery], target: str, by: str | None = None) -> DataFrame:
+    """`by`, qid, cnt, sum (decimal), min, max of queries that have rows, in one scan; a query without rows may be missing, or be there with cnt 0.
+
+    Few queries are conditional aggregates. Larger workloads over one attribute cut it at all their edges: rows are summed by cell, and a query is the sum of its
+    cells. Other workloads meet the rows in a join with the table of queries. Either way partial aggregates leave each task, never more than cells or queries.
+    """
+    spark, keys, t = df.sparkSession, [by] if by else [], F.col(target)
+    if len(queries) <= FEW:
+        aggs = []
+        for i, q in enumerate(queries):
+            v = F.when(q.predicate(), t)
+            aggs += [F.count(F.when(q.predicate(), 1)).alias(f"c{i}"), F.sum(amount(v)).alias(f"s{i}"), F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}")]
+        rows = [F.struct(F.lit(i).alias("qid"), F.col(f"c{i}").alias("cnt"), F.col(f"s{i}").alias("sum"), F.col(f"l{i}").alias("min"), F.col(f"h{i}").alias("max")) for i in range(len(queries))]
+        return df.groupBy(*keys).agg(*aggs).select(*keys, F.inline(F.array(*rows)))
+    measures = (F.count("*").alias("cnt"), F.sum(amount(t)).alias("sum"), F.min(t).alias("min"), F.max(t).alias("max"))
+    attrs = sorted({a for q in queries for a, _, _ in q.box})
+    if len(attrs) == 1 and all(len(q.box) == 1 for q in queries):
+        edges = sorted({float(e) for q in queries for e in q.box[0][1:]})
+        number = {e: i for i, e in enumerate(edges)}
+        cells = df.withColumn("__cell", count_at_most(F.col(attrs[0]), edges)).filter((F.col("__cell") > 0) & (F.col("__cell") < len(edges))).groupBy(*keys, "__cell").agg(*measures)
+        table = spark.createDataFrame([(i, number[float(lo)] + 1, number[float(hi)]) for i, q in enumerate(queries) for _, lo, hi in q.box], "qid int, __first int, __last int")
+        met = cells.join(F.broadcast(table), F.col("__cell").between(F.col("__first"), F.col("__last")))
+        return met.groupBy(*keys, "qid").agg(F.sum("cnt").alias("cnt"), F.sum("sum").alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
+    boxes = [{a: (float(lo), float(hi)) for a, lo, hi in q.box} for q in queries]
+    table = spark.createDataFrame([(i, *(e for a in attrs for e in box.get(a, (None, None)))) for i, box in enumerate(boxes)], ", ".join(["qid int", *(f"__lo_{a} double, __hi_{a} double" for a in attrs)]))
+    fits = F.lit(True)
+    for a in attrs:
+        fits = fits & (F.col(f"__lo_{a}").isNull() | (F.col(a) >= F.col(f"__lo_{a}")) & (F.col(a) < F.col(f"__hi_{a}")))
+    # the workload is a list that the driver holds: some thousand rows of a few numbers
+    return df.select(*dict.fromkeys([*keys, target, *attrs])).join(F.broadcast(table), fits).groupBy(*keys, "qid").agg(*measures)
+
+
 def exact(df: DataFrame, queries: list[RangeQuery], target: str) -> DataFrame:
-    """qid, cnt, sum, avg, min, max of every query in one scan: conditional aggregates, pushed to the scan where there is one query only."""
+    """qid, cnt, sum, avg, min, max of every query in one scan; the predicate of a single query is pushed to the scan."""
     if len(queries) == 1:
         df = df.filter(queries[0].predicate())
-    aggs = []
-    for i, q in enumerate(queries):
-        v = F.when(q.predicate(), F.col(target))
-        aggs += [F.count(F.when(q.predicate(), 1)).alias(f"c{i}"), exact_sum(v).alias(f"s{i}"), F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}")]
-    one = df.agg(*aggs)
-    rows = F.array(*(F.struct(F.lit(i).alias("qid"), F.col(f"c{i}").alias("cnt"), F.col(f"s{i}").alias("sum"), F.col(f"l{i}").alias("min"), F.col(f"h{i}").alias("max")) for i in range(len(queries))))
-    return _with_average(one.select(F.inline(rows)))
+    found = by_query(df, queries, target).withColumn("sum", F.col("sum").cast("double"))
+    if len(queries) > FEW:
+        ids = df.sparkSession.range(len(queries)).select(F.col("id").cast("int").alias("qid"))
+        found = ids.join(found, "qid", "left").fillna(0, ["cnt"])
+    return _with_average(found)
 
 
 def _with_average(df: DataFrame) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import arithmetic, exact_sum, salted
+from ..functions.scalars import arithmetic, salted
 from ..plans.query import RangeQuery
+from .estimate import by_query
 from .sampling import bottom
 
 
@@ -27,34 +28,49 @@ def random_ranges(df: DataFrame, attrs: list[str], target: str, n: int, key: str
         if all(lo < hi for _, lo, hi in box):
             candidates.append(RangeQuery(target, box))
     if candidates:
-        counts = df.agg(*(F.count(F.when(q.predicate(), 1)).alias(f"c{i}") for i, q in enumerate(candidates))).first()
-        out = [q for q, c in zip(candidates, counts, strict=True) if c >= least_rows]
+        counts = {r["qid"]: r["cnt"] for r in by_query(df.withColumn("__one", F.lit(1)), candidates, "__one").select("qid", "cnt").collect()}
+        out = [q for i, q in enumerate(candidates) if counts.get(i, 0) >= least_rows]
     return out[:n]
 
 
+def values_at(df: DataFrame, order: str, ranks: list[int], buckets: int = 255) -> dict[int, object]:
+    """The values of a unique column `order` at some ranks (from 1). Approximate quantiles cut the table in buckets, which are counted; only the buckets that hold a rank are put in
+    order, each in a task. The quantiles are read once, so that all steps see the same buckets."""
+    shares = F.array(*(F.lit((i + 1) / (buckets + 1)) for i in range(buckets)))
+    edges = sorted(set(df.agg(F.percentile_approx(order, shares, 100 * buckets).alias("e")).first()["e"] or []))
+    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(order))) if edges else F.lit(0)
+    placed = df.select(order, F.when(F.col(order).isNull(), -1).otherwise(place).alias("__b"))
+    sizes = {r["__b"]: r["n"] for r in placed.groupBy("__b").agg(F.count("*").alias("n")).collect()}
+    within, at = {}, 0
+    for b in sorted(sizes):
+        within |= {(b, e - at): e for e in ranks if at < e <= at + sizes[b]}
+        at += sizes[b]
+    if not within:
+        return {}
+    ordered = placed.filter(F.col("__b").isin(sorted({b for b, _ in within}))).withColumn("__n", F.row_number().over(Window.partitionBy("__b").orderBy(order)))
+    found = ordered.filter(F.struct("__b", "__n").isin([F.struct(F.lit(b), F.lit(n)) for b, n in within])).collect()
+    return {within[r["__b"], r["__n"]]: r[order] for r in found}
+
+
 def prefix_truth(df: DataFrame, queries: list[RangeQuery], target: str, order: str, fractions: tuple[float, ...]) -> DataFrame:
-    """fraction, qid, cnt, sum, avg of every query over the first floor(fraction * rows) rows in order. Prefix ends come from the order's values, so no row number is given to
-    the table: ties at an end are rows of the same value of a unique `order`."""
-    n = df.count()
-    spark = df.sparkSession
-    ends = [(p, int(math.floor(n * p))) for p in fractions]
-    ranks = df.select(order).repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    sizes = {r["__p"]: r["n"] for r in ranks.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    before, at = {}, 0
-    for p in sorted(sizes):
-        before[p] = at
-        at += sizes[p]
-    start = spark.createDataFrame(sorted(before.items()) or [(0, 0)], "__p int, __b long")
-    placed = ranks.join(F.broadcast(start), "__p").withColumn("__n", F.col("__b") + F.row_number().over(Window.partitionBy("__p").orderBy(order)))
-    marks = {r["__n"]: r[order] for r in placed.filter(F.col("__n").isin([e for _, e in ends])).select("__n", order).collect()}
-    aggs, rows = [], []
-    for j, (p, e) in enumerate(ends):
-        inside = F.col(order) <= F.lit(marks[e]) if e in marks else F.lit(False)
-        for i, q in enumerate(queries):
-            v = F.when(inside & q.predicate(), F.col(target))
-            aggs += [F.count(v).alias(f"c{j}_{i}"), F.coalesce(exact_sum(v), F.lit(0.0)).alias(f"s{j}_{i}")]
-            rows.append(F.struct(F.lit(p).alias("fraction"), F.lit(i).alias("qid"), F.col(f"c{j}_{i}").alias("cnt"), F.col(f"s{j}_{i}").alias("sum")))
-    found = df.agg(*aggs).select(F.inline(F.array(*rows)))
+    """fraction, qid, cnt, sum, avg of every query over the first floor(fraction * rows) rows in the order of a unique column.
+
+    Prefix ends come from the order's values, so no row number is given to the table. Rows are summed by query and by the stretch between two ends, in one scan; a
+    prefix adds up its stretches.
+    """
+    spark, n = df.sparkSession, df.count()
+    ends = sorted((math.floor(n * p), p) for p in fractions)
+    marks = values_at(df, order, [e for e, _ in ends])
+    stretch = F.lit(0)
+    for e, _ in ends:
+        stretch = stretch + ((F.col(order) > F.lit(marks[e])).cast("int") if e in marks else F.lit(1))
+    columns = {order, target, *(a for q in queries for a, _, _ in q.box)}
+    inside = df.select(*sorted(columns)).withColumn("__stretch", stretch).filter(F.col("__stretch") < len(ends))
+    parts = by_query(inside, queries, target, "__stretch").select("__stretch", F.col("qid").alias("__q"), "cnt", "sum")
+    upto = F.array(*(F.struct(F.lit(p).alias("fraction"), F.lit(j).alias("__j")) for j, (_, p) in enumerate(ends)))
+    wanted = spark.range(len(queries)).select(F.col("id").cast("int").alias("qid"), F.inline(upto))
+    found = wanted.join(parts, (F.col("qid") == F.col("__q")) & (F.col("__stretch") <= F.col("__j")), "left").groupBy("fraction", "qid")
+    found = found.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"), F.coalesce(F.sum("sum").cast("double"), F.lit(0.0)).alias("sum"))
     return found.withColumn("avg", F.when(F.col("cnt") > 0, F.col("sum") / F.col("cnt")))
 
 

@@ -152,3 +152,42 @@ def test_profile_and_cross_split_of_small_tables(spark):
     leaves = partition.cross(one, ["a", "b"])  # b is constant: it isn't split
     assert [box[0] for box in leaves.boxes] == [(config.LOW, 2.0), (2.0, config.HIGH)]
     assert len(partition.cross(one.limit(0), ["a", "b"]).boxes) == 1
+
+
+def test_large_workloads_against_sql(spark):
+    rng = random.Random(4)
+    found = [(i, None if rng.random() < 0.05 else float(rng.randrange(50)), float("nan") if i == 7 else rng.random() * 9, round(rng.random() * 100, 2)) for i in rng.sample(range(10**6), 600)]
+    df = spark.createDataFrame(found, "id long, x double, y double, v double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (id BIGINT, x DOUBLE, y DOUBLE, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [list(r) for r in found])
+
+    def box(*attrs):
+        return RangeQuery("v", tuple((a, *sorted((float(rng.randrange(-3, 55)), float(rng.randrange(-3, 55))))) for a in attrs))
+
+    one = [box("x") for _ in range(150)] + [RangeQuery("v", (("x", config.LOW, config.HIGH),)), RangeQuery("v", (("x", 5.0, 5.0),))]
+    several = [box("x", "y") for _ in range(30)] + [box("y"), RangeQuery("v", ())]
+
+    def truth(q, first=None):
+        where = " AND ".join(["true", *(f"{a} >= {lo!r}::DOUBLE AND {a} < {hi!r}::DOUBLE" for a, lo, hi in q.box)])
+        source = "t" if first is None else f"(SELECT * FROM t ORDER BY id LIMIT {first})"
+        return con.execute(f"SELECT count(*), CAST(coalesce(sum(CAST(v AS DECIMAL(18,2))), 0) AS DOUBLE), min(v), max(v) FROM {source} WHERE {where}").fetchone()
+
+    for queries in (one[:3], one, several):
+        got = {r["qid"]: (r["cnt"], r["sum"], r["min"], r["max"]) for r in estimate.exact(df, queries, "v").collect()}
+        assert got == {i: truth(q) for i, q in enumerate(queries)}
+    fractions = (0.5, 0.001, 1.0, 0.25)
+    for queries in (one[:3], one[-40:], several):
+        got = {(r["fraction"], r["qid"]): (r["cnt"], r["sum"]) for r in workload.prefix_truth(df, queries, "v", "id", fractions).collect()}
+        assert got == {(p, i): truth(q, int(len(found) * p))[:2] for p in fractions for i, q in enumerate(queries)}
+    empty = df.limit(0)
+    assert {(r["cnt"], r["sum"]) for r in estimate.exact(empty, one, "v").collect()} == {(0, 0.0)}
+    assert {(r["cnt"], r["sum"]) for r in workload.prefix_truth(empty, several, "v", "id", fractions).collect()} == {(0, 0.0)}
+
+
+def test_values_at_ranks(spark):
+    df = spark.range(0, 30_000, 1, 7).select((F.col("id") * 7919 % 30_011).alias("k"))
+    ordered = sorted(r[0] for r in df.collect())
+    ranks = [1, 2, 117, 15_000, 29_999, 30_000]
+    assert workload.values_at(df, "k", ranks) == {r: ordered[r - 1] for r in ranks}
+    assert workload.values_at(df, "k", [0, 30_001]) == {}
