@@ -232,6 +232,31 @@ def test_compression_bands():
     assert quality.compression(prose.encode(), quality.Bands(), c)[3]
 
 
+def test_compression_bands_by_length():
+    import base64
+
+    import zstandard
+
+    c, rng, bands = zstandard.ZstdCompressor(level=3), random.Random(3), quality.Bands()
+    found = [r[0].encode() for r in duckdb.sql(f"SELECT text FROM '{SF}/documents.parquet' WHERE length(text) > 4500").fetchall()]
+    prose = [t for t in found if quality.compression(t, bands, c)[3]]
+    assert len(prose) > 0.9 * len(found)
+    wrapped = lambda n: base64.encodebytes(rng.randbytes(n))[:n]
+    for n in (384, 512, 1024, 1500, 2048, 3000, 4000, 4096, 40000):
+        assert not quality.compression(wrapped(n), bands, c)[3], n
+    letters = lambda n: bytes(rng.choice(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz   ") for _ in range(n))
+    for n in (1024, 2048, 4096):
+        assert not quality.compression(letters(n), bands, c)[3], n
+    for t in prose:
+        for n in (256, 512, 1024, 2048, 4096):
+            assert quality.compression(t[:n], bands, c)[0] < quality.band(bands.whole, n)[1]
+    body = b"\n".join(prose * 40)
+    for share in (0.4, 0.6):
+        cut = int(40_000 * share)
+        mixed = body[:cut] + b"\n" + wrapped(40_000 - cut)
+        assert len(mixed) > 39_000 and not quality.compression(mixed, bands, c)[3]
+
+
 def test_token_counts_against_greedy_cutting(docs, edge):
     v = tokencount.sentencepiece_vocabulary(queries.tokenizer_path(queries.PIECES))
     first, rest = set(v.initial), set(v.following)
