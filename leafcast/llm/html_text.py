@@ -1,8 +1,8 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at its block-level tags. The first pass classifies each block by where it stands (menus, headers, footers, notices, adverts, forms and
-comments by element, role, class and id; the article by its element), and where that says nothing by its length, link density and stop-word density. Short blocks stay
-ambiguous. In the second pass these inherit from their nearest decided neighbours.
+comments by element, role, class and id), else by its length, link density and stop-word density. Short blocks stay ambiguous, and so do blocks of an article whose
+density speaks against it. In the second pass these inherit from their nearest decided neighbours. Both passes see every page and every block, in an article or not.
 """
 
 from __future__ import annotations
@@ -181,12 +181,17 @@ def _close_implied(stack: list[tuple[str, str]], name: str) -> None:
 
 
 def first_pass(block: Block, rules: Rules) -> str:
-    """good, bad, near (to good), or short: the last two are ambiguous."""
-    if block.place:
-        return "good" if block.place == "main" else "bad"
+    """good, bad, near (to good), or short: the last two are ambiguous. An article's element is evidence for its blocks: links decide against it, but a low stop-word density
+    or a small length leaves them near, as it may be a list, a table or another language."""
+    if block.place == "aside":
+        return "bad"
     words = block.text.split()
     density = sum(w.strip(".,;:!?()\"'").lower() in rules.stop_words for w in words) / len(words)
     links = block.linked / len(block.text)
+    if block.place == "main":
+        if links > rules.links and not block.heading:
+            return "bad"
+        return "good" if density >= rules.stop_low and len(block.text) >= rules.short and links <= rules.links else "near"
     if links > rules.links:
         return "bad"
     if "©" in block.text:
@@ -198,23 +203,25 @@ def first_pass(block: Block, rules: Rules) -> str:
     return "near" if density >= rules.stop_low else "bad"
 
 
+def _neighbours(found: list[Block], decided: list[str], reach: int) -> list[str]:
+    """Label of the nearest decided block before each one, within reach. Blocks of an article look at blocks of articles alone: menus around it say nothing on it."""
+    out, last, inside = [], ("", -1), ("", -1)
+    for i, (b, label) in enumerate(zip(found, decided, strict=True)):
+        near = inside if b.place == "main" else last
+        out.append(near[0] if i - near[1] <= reach else "")
+        if label:
+            last = (label, i)
+            if b.place == "main":
+                inside = last
+    return out
+
+
 def second_pass(found: list[Block], first: list[str], rules: Rules) -> list[bool]:
     """Ambiguous blocks take the label of their nearest decided neighbours. Where these differ, a `near` block is good, a heading follows what comes after it, and any
-    other short block is bad; without a decided neighbour only `near` blocks are good. A page with an article takes nothing from outside it."""
-    if any(b.place == "main" for b in found):
-        return [b.place == "main" for b in found]
-    n = len(found)
+    other short block is bad; without a decided neighbour `near` blocks are good, and headings are where an article holds them."""
     decided = [c if c in ("good", "bad") else "" for c in first]
-    before, last = [""] * n, ("", -1)
-    for i in range(n):
-        before[i] = last[0] if i - last[1] <= rules.reach else ""
-        if decided[i]:
-            last = (decided[i], i)
-    after, last = [""] * n, ("", n)
-    for i in range(n - 1, -1, -1):
-        after[i] = last[0] if last[1] - i <= rules.reach else ""
-        if decided[i]:
-            last = (decided[i], i)
+    before = _neighbours(found, decided, rules.reach)
+    after = _neighbours(found[::-1], decided[::-1], rules.reach)[::-1]
     out = []
     for i, b in enumerate(found):
         if decided[i]:
@@ -222,7 +229,7 @@ def second_pass(found: list[Block], first: list[str], rules: Rules) -> list[bool
         elif before[i] == after[i] and before[i]:
             out.append(before[i] == "good")
         elif b.heading:
-            out.append(after[i] == "good")
+            out.append(after[i] == "good" or not after[i] and b.place == "main")
         else:
             out.append(first[i] == "near")
     return out

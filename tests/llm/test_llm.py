@@ -110,6 +110,17 @@ def test_block_rules_without_an_article():
     assert html_text.main_text(page, html_text.Rules()) == "\n\n".join(["A heading", prose.strip(), "It was short.", prose.strip()])
 
 
+def test_block_rules_around_and_in_an_article():
+    prose = ("This is the long text of the story that was in it and on the way to the end of all the things that we have been in, " * 3).strip()
+    text = lambda page: html_text.main_text(page, html_text.Rules())
+    card = "<article><h3><a href=1>A teaser</a></h3><p><a href=1>Go on to the next story of the day</a></p></article>"
+    assert prose in text(f"<body><nav>Menu</nav><div><h2>A heading</h2><p>{prose}</p><p>{prose}</p></div>{card}<footer>f</footer>")
+    links = "".join(f"<li><a href={i}>Another story of the week, number {i}</a></li>" for i in range(9))
+    assert text(f"<nav>m</nav><article><h1>T</h1><p>{prose}</p><p>Short.</p><p>{prose}</p><h3>More</h3><ul>{links}</ul></article><footer>f</footer>") == f"T\n\n{prose}\n\nShort.\n\n{prose}"
+    foreign = "Litwo ojczyzno moja jesteś jak zdrowie ile cenić trzeba ten tylko dowie kto stracił " * 4
+    assert text(f"<nav>m</nav><article><h1>Pan</h1><p>{foreign}</p><p>{foreign}</p></article><footer>f</footer>") == f"Pan\n\n{foreign.strip()}\n\n{foreign.strip()}"
+
+
 def test_mixing(spark, docs, edge, empty):
     got = rows(mixing.mix_sources(docs))
     again = rows(mixing.mix_sources(docs.repartition(7)))
