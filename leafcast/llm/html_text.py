@@ -71,34 +71,66 @@ class Block:
     heading: bool
     #: "main", "aside" or "" by the elements around it.
     place: str
+    #: Elements around it that are aside by their names or as a form, down to the innermost article and within that.
+    outer: tuple[int, ...] = ()
+    inner: tuple[int, ...] = ()
 
 
-def _named_aside(attributes: str) -> bool:
+def _marked(attributes: str) -> str:
+    """"aside" where a role or style says so, "name" where only words of class or id do."""
+    named = ""
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name in ("class", "id"):
             if any(w.lower() in ASIDE_NAMES for w in NAME_WORD.findall(value)):
-                return True
+                named = "name"
         elif name == "role" and value.lower() in ASIDE_ROLES:
-            return True
+            return "aside"
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return "aside"
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
-    return False
+            return "aside"
+    return named
 
 
-def blocks(page: str) -> list[Block]:
-    """Blocks with text, in page order. Unclosed and misnested elements end with the nearest open one of that name, or with the page."""
+def settle(found: list[Block], rules: Rules) -> None:
+    """Names and forms make a part aside unless it is a wrapper: the article, or what text there is, lies inside it.
+
+    An article counts by how many marks it lies in, its own included. Those in the fewest are the page's if they hold a long block's length of text; a comment or teaser
+    in a marked part beside them stays aside. Marks around the page's article are void. Text outside all marks that outweighs a marked article keeps the marks. A page
+    without an article reads on from its least marked parts that hold so much text; their densities then decide.
+    """
+    marks = [len(b.outer) + len(b.inner) for b in found]
+    article: dict[int, int] = {}
+    other: dict[int, int] = {}
+    for b, k in zip(found, marks, strict=True):
+        if b.place != "aside" and not b.heading:
+            held = article if b.place == "main" and not b.inner else other
+            held[k] = held.get(k, 0) + len(b.text) - b.linked
+    level = next((k for k in sorted(article) if article[k] >= rules.long), min(article, default=None))
+    if level is None:
+        level = next((k for k in sorted(other) if other[k] >= rules.long), 0)
+        void = {m for b, k in zip(found, marks, strict=True) if b.place != "aside" and k <= level for m in b.outer + b.inner}
+    else:
+        if other.get(0, 0) >= max(rules.long, article[level]):
+            level = 0
+        void = {m for b, k in zip(found, marks, strict=True) if b.place == "main" and not b.inner and k <= level for m in b.outer}
+    for b in found:
+        if not void.issuperset(b.outer + b.inner):
+            b.place = "aside"
+
+
+def blocks(page: str, rules: Rules | None = None) -> list[Block]:
+    """Blocks with text and their places, in page order. Unclosed and misnested elements end with the nearest open one of that name, or with the page."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # open elements with their place
+    stack: list[tuple[str, str, tuple[int, ...], tuple[int, ...]]] = []  # open elements with their place and marks
     parts: list[str] = []
     state = {"linked": 0, "heading": False, "links": 0, "silent": 0, "breaks": 0}
 
     def flush() -> None:
         text = SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            out.append(Block(text, state["linked"], state["heading"], stack[-1][1] if stack else ""))
+            out.append(Block(text, state["linked"], state["heading"], *(stack[-1][1:] if stack else ("",))))
         parts.clear()
         state.update(linked=0, heading=False, breaks=0)
 
@@ -110,7 +142,7 @@ def blocks(page: str) -> list[Block]:
                 state["linked"] += len(SPACE.sub(" ", text).strip())
             if not text.isspace():
                 state["breaks"] = 0
-                state["heading"] = state["heading"] or any(len(n) == 2 and n[0] == "h" and n[1] in "123456" for n, _ in stack[-3:])
+                state["heading"] = state["heading"] or any(len(n) == 2 and n[0] == "h" and n[1] in "123456" for n, *_ in stack[-3:])
 
     at, end = 0, len(page)
     while at < end:
@@ -130,7 +162,7 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCKS:
                 flush()
             if depth is not None:
-                for n, _ in stack[depth:]:
+                for n, *_ in stack[depth:]:
                     state["silent"] -= n in SILENT
                     state["links"] -= n == "a"
                 del stack[depth:]
@@ -146,13 +178,16 @@ def blocks(page: str) -> list[Block]:
             _close_implied(stack, name)
         if name in VOID or m[3].endswith("/") and name not in BLOCKS:
             continue
-        around = stack[-1][1] if stack else ""
-        place = around
-        if name in ASIDE and not (name == "header" and around == "main") or _named_aside(m[3]) and name not in ("html", "body"):
+        _, place, outer, inner = stack[-1] if stack else ("", "", (), ())
+        mark = _marked(m[3]) if name not in ("html", "body") else ""
+        if name in ASIDE and name != "form" and not (name == "header" and place == "main") or mark == "aside":
             place = "aside"
-        elif name in MAIN and around != "aside":
-            place = "main"
-        stack.append((name, place))
+        elif place != "aside":
+            if mark or name == "form":
+                inner = (*inner, at)
+            if name in MAIN:
+                place, outer, inner = "main", outer + inner, ()
+        stack.append((name, place, outer, inner))
         state["silent"] += name in SILENT
         state["links"] += name == "a"
         if name in RAW:
@@ -161,10 +196,11 @@ def blocks(page: str) -> list[Block]:
                 say(page[at : close.start() if close else end])
             at = close.start() if close else end
     flush()
+    settle(out, rules or Rules())
     return out
 
 
-def _close_implied(stack: list[tuple[str, str]], name: str) -> None:
+def _close_implied(stack: list[tuple], name: str) -> None:
     """A new paragraph, list item, row or cell ends an open one of its kind, where HTML lets the end tag be left out."""
     alike = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
     fences = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
@@ -236,7 +272,7 @@ def second_pass(found: list[Block], first: list[str], rules: Rules) -> list[bool
 
 
 def main_text(page: str | None, rules: Rules) -> str:
-    found = blocks(page or "")
+    found = blocks(page or "", rules)
     good = second_pass(found, [first_pass(b, rules) for b in found], rules)
     return "\n\n".join(b.text for b, ok in zip(found, good, strict=True) if ok)
 

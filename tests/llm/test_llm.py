@@ -121,6 +121,21 @@ def test_block_rules_around_and_in_an_article():
     assert text(f"<nav>m</nav><article><h1>Pan</h1><p>{foreign}</p><p>{foreign}</p></article><footer>f</footer>") == f"Pan\n\n{foreign.strip()}\n\n{foreign.strip()}"
 
 
+def test_block_rules_with_marked_wrappers():
+    prose = ("This is the long text of the story that was in it and on the way to the end of all the things that we have been in, " * 3).strip()
+    text = lambda page: html_text.main_text(f"<body>{page}</body>", html_text.Rules())
+    body, comments = f"<h1>T</h1><p>{prose}</p>", f"<div id=comments><article class=comment><p>{prose}</p></article></div>"
+    for page in (
+        f"<div class='layout has-sidebar'><article>{body}</article><div class=sidebar>x</div></div>", f"<article class='post has-comments'>{body}</article>",
+        f"<form id=form1><div class=header>x</div><article>{body}</article></form>", f"<main><article class=has-comments>{body}</article></main>",
+        f"<div class='layout has-sidebar'><article>{body}{comments}</article></div>", f"<article>{body}</article>{comments}", f"<div class=has-comments><article>{body}</article>{comments}</div>",
+        f"<form id=form1><nav>x</nav><div>{body}</div><footer>f</footer></form>", f"<div class='page with-sidebar'><div>{body}</div><div class=sidebar>x</div></div>",
+        f"<main><h1>T</h1><form id=form1><p>{prose}</p></form></main>", f"<div>{body}</div><div class=related><article class=card><p>The teaser of it</p></article></div>", f"<article>{body}<form><p>{prose}</p></form></article>",
+    ):
+        assert text(page) == f"T\n\n{prose}", page
+    assert text(f"<article hidden>{body}</article><aside><article>{body}</article></aside>") == ""
+
+
 def test_mixing(spark, docs, edge, empty):
     got = rows(mixing.mix_sources(docs))
     again = rows(mixing.mix_sources(docs.repartition(7)))
