@@ -513,3 +513,14 @@ def test_pipeline_decisions(spark, docs):
     for r in corpus_pipeline.mix_to_targets(spark, docs, SF).collect():
         words[r["doc_id"]] += len(r["text"].encode().split())
     assert words == Counter({i: n for i, n in taken.items() if n})
+
+
+def test_pipeline_drops_repeated_rows_and_copies_without_ids(spark):
+    rng = random.Random(9)
+    words = lambda: " ".join(f"w{rng.randrange(9**5)}" for _ in range(60))
+    near = lambda t: t + " end"
+    a, b, c, d, e = (words() for _ in range(5))
+    found = [(5, a), (5, a), (5, a), (5, b), (9, near(b)), (5, near(b)), (2, c), (None, near(c)), *[(None, d)] * 7, (None, near(d)), (None, e), (11, e), (12, words())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in found], DOCS).repartition(5)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert Counter(got) == Counter([(5, a), (5, min(b, near(b))), (2, c), (None, min(d, near(d))), (11, e), found[-1]])
