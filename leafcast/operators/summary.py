@@ -54,6 +54,36 @@ def extremes(df: DataFrame, leaves: Leaves, target: str, key: str, n: int = 10)
     return out.select("leaf_id", "side", "rank", "value", "key")
 
 
+def values(df: DataFrame, leaves: Leaves, target: str, key: tuple[str, ...]) -> DataFrame:
+    """leaf_id, value and key (a struct) of the rows with a target."""
+    at = df.withColumn("leaf_id", leaves.leaf_id()).select("leaf_id", F.col(target).alias("value"), F.struct(*key).alias("key"))
+    return at.filter("value is not null")
+
+
+def ends(df: DataFrame, leaves: Leaves, target: str, key: tuple[str, ...], n: int) -> DataFrame:
+    """`extremes` by a key of several columns, without rows that have no target."""
+    return extremes(df.filter(F.col(target).isNotNull()).withColumn("__key", F.struct(*key)), leaves, target, "__key", n)
+
+
+def ends_now(ends: DataFrame, fresh: DataFrame | None, gone: DataFrame | None, n: int, key: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """leaf_id, min and max of the rows there are now; and leaf_id and side of the extremes that aren't known any more.
+
+    Of a leaf with n rows or more, only those at least as extreme as the n-th are known, so values inserted beyond that don't count: rows that were not kept may
+    lie before them. If no known row is left the extreme is null.
+    """
+    known = ends.select("leaf_id", "side", "value", "key")
+    if fresh is not None:
+        edge = ends.filter(F.col("rank") == n).select("leaf_id", "side", F.col("value").alias("edge"))
+        sides = fresh.withColumn("side", F.explode(F.array(F.lit("min"), F.lit("max")))).join(F.broadcast(edge), ["leaf_id", "side"], "left")
+        within = F.col("edge").isNull() | F.when(F.col("side") == "min", F.col("value") <= F.col("edge")).otherwise(F.col("value") >= F.col("edge"))
+        known = known.unionByName(sides.filter(within).select("leaf_id", "side", "value", "key"))
+    if gone is not None:
+        known = known.join(gone.select(F.struct(*key).alias("key")).distinct(), "key", "left_anti")
+    side = lambda s: F.when(F.col("side") == s, F.col("value"))
+    spent = ends.filter(F.col("rank") == n).select("leaf_id", "side").join(known, ["leaf_id", "side"], "left_anti")
+    return known.groupBy("leaf_id").agg(F.min(side("min")).alias("min"), F.max(side("max")).alias("max")), spent
+
+
 def totals(summary: DataFrame) -> DataFrame:
     return summary.agg(F.sum("cnt").cast("long").alias("cnt"), exact_sum(F.col("sum")).alias("sum"), F.min("min").alias("min"), F.max("max").alias("max"))
 

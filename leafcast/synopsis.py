@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from .config import SynopsisConfig
 from .operators import estimate, partition, sampling, summary
 from .operators.partition import Leaves
-from .plans.query import RangeQuery
+from .plans.query import RangeQuery, query_table
 
 
 @dataclass(frozen=True)
 class Synopsis:
-    """`base` is the catch-up summary, `delta` the signed change since, `sample` the rows kept; epoch counts the changes that are in."""
+    """`base` is the catch-up summary, `delta` the signed change since, `sample` the rows kept; epoch counts the changes that are in. `ends` are the extremes of each leaf
+    in the whole table as it was built, whatever the catch-up, and `fresh` the values inserted since."""
 
     leaves: Leaves
     base: DataFrame
@@ -27,6 +28,8 @@ class Synopsis:
     config: SynopsisConfig
     epoch: int = 0
     gone: DataFrame | None = None
+    ends: DataFrame | None = None
+    fresh: DataFrame | None = None
 
     @classmethod
     def build(cls, df: DataFrame, attrs: list[str], target: str, key: tuple[str, ...], config: SynopsisConfig = SynopsisConfig(), partitioner: str = "equal_depth") -> Synopsis:
@@ -45,33 +48,53 @@ class Synopsis:
             seen = sampling.hash_sample(df, config.catch_up, *key, salt="c")
             base = summary.scale(summary.summarise(seen, leaves, target), df.count(), seen.count())
         sample = sampling.hash_sample(df, config.sample_rate * config.oversample, *key).withColumn("leaf_id", leaves.leaf_id())
-        return cls(leaves, base, None, sample, target, key, config)
+        return cls(leaves, base, None, sample, target, key, config, ends=summary.ends(df, leaves, target, key, config.extremes))
 
     def apply(self, changes: DataFrame) -> Synopsis:
-        """A log of rows with op I or D: counts and sums by sign, sample rows by key. Signs commute, so a delete may come before its insert."""
+        """A log of rows with op I or D: counts and sums by sign, sample rows and extremes by key. Signs commute, so a delete may come before its insert."""
         delta = summary.signed(changes, self.leaves, self.target)
         new = sampling.hash_sample(changes.filter("op = 'I'"), self.config.sample_rate * self.config.oversample, *self.key).withColumn("leaf_id", self.leaves.leaf_id())
         gone = changes.filter("op = 'D'").select(*self.key)
         gone = gone if self.gone is None else self.gone.unionByName(gone)
         kept = self.sample.unionByName(new.select(*self.sample.columns)).join(gone, list(self.key), "left_anti")
-        return replace(self, delta=delta if self.delta is None else summary.merge(self.delta, delta), sample=kept, gone=gone, epoch=self.epoch + 1)
+        fresh = summary.values(changes.filter("op = 'I'"), self.leaves, self.target, self.key)
+        fresh = fresh if self.fresh is None else self.fresh.unionByName(fresh)
+        return replace(self, delta=delta if self.delta is None else summary.merge(self.delta, delta), sample=kept, gone=gone, fresh=fresh, epoch=self.epoch + 1)
 
-    def summary(self) -> DataFrame:
+    def counts(self) -> DataFrame:
         return self.base if self.delta is None else summary.merge(self.base, self.delta)
 
+    def summary(self) -> DataFrame:
+        """Counts and sums with the extremes of the rows there are now; these are null once the kept ones of a leaf are all deleted."""
+        if self.delta is None and self.config.catch_up >= 1:
+            return self.base
+        counts = self.counts().select("leaf_id", "cnt", "sum")
+        if self.ends is None:  # saved before extremes were kept
+            return counts.withColumns({c: F.lit(None).cast("double") for c in ("min", "max")})
+        return counts.join(self.ends_now()[0], "leaf_id", "left")
+
+    def ends_now(self) -> tuple[DataFrame, DataFrame]:
+        return summary.ends_now(self.ends, self.fresh, self.gone, self.config.extremes, self.key)
+
     def query(self, queries: list[RangeQuery], pooled: bool = False, budget: int | None = None) -> DataFrame:
-        spark = self.base.sparkSession
-        return estimate.hybrid(queries, self.leaves.table(spark), self.summary(), self.sample, self.target, list(self.leaves.attrs), pooled, budget, self.key[0] if budget else None)
+        spark, attrs, table = self.base.sparkSession, list(self.leaves.attrs), self.leaves.table(self.base.sparkSession)
+        found = estimate.hybrid(queries, table, self.summary(), self.sample, self.target, attrs, pooled, budget, self.key[0] if budget else None)
+        if self.gone is None or self.ends is None:
+            return found
+        # an extreme over a leaf whose kept ones are all deleted isn't known, whatever the other leaves have
+        spent = estimate.classify(query_table(spark, queries, attrs), table, attrs).filter("covered").join(self.ends_now()[1], "leaf_id").groupBy("qid").agg(F.collect_set("side").alias("spent"))
+        known = lambda c: F.when(~F.coalesce(F.array_contains("spent", c), F.lit(False)), F.col(c)).alias(c)
+        return found.join(spent, "qid", "left").select("qid", "cnt", "sum", "avg", known("min"), known("max"))
 
     def rows(self) -> DataFrame:
-        return self.summary().agg(F.sum("cnt").alias("cnt"))
+        return self.counts().agg(F.sum("cnt").alias("cnt"))
 
     def save(self, path: str) -> None:
         spark = self.base.sparkSession
-        for name, df in (("base", self.base), ("delta", self.delta), ("sample", self.sample), ("gone", self.gone)):
+        for name, df in (("base", self.base), ("delta", self.delta), ("sample", self.sample), ("gone", self.gone), ("ends", self.ends), ("fresh", self.fresh)):
             if df is not None:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
-        meta = {"attrs": self.leaves.attrs, "tree": self.leaves.tree, "target": self.target, "key": self.key, "epoch": self.epoch, "delta": self.delta is not None, "gone": self.gone is not None, "config": self.config.__dict__}
+        meta = {"attrs": self.leaves.attrs, "tree": self.leaves.tree, "target": self.target, "key": self.key, "epoch": self.epoch, "delta": self.delta is not None, "gone": self.gone is not None, "ends": self.ends is not None, "fresh": self.fresh is not None, "config": self.config.__dict__}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
@@ -83,4 +106,4 @@ class Synopsis:
 
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         config = SynopsisConfig(**{**meta["config"], "baselines": tuple(meta["config"]["baselines"])})
-        return cls(Leaves.of(meta["attrs"], tree(meta["tree"])), read("base"), read("delta") if meta["delta"] else None, read("sample"), meta["target"], tuple(meta["key"]), config, meta["epoch"], read("gone") if meta["gone"] else None)
+        return cls(Leaves.of(meta["attrs"], tree(meta["tree"])), read("base"), read("delta") if meta["delta"] else None, read("sample"), meta["target"], tuple(meta["key"]), config, meta["epoch"], read("gone") if meta["gone"] else None, *(read(x) if meta.get(x) else None for x in ("ends", "fresh")))

@@ -191,3 +191,20 @@ def test_values_at_ranks(spark):
     ranks = [1, 2, 117, 15_000, 29_999, 30_000]
     assert workload.values_at(df, "k", ranks) == {r: ordered[r - 1] for r in ranks}
     assert workload.values_at(df, "k", [0, 30_001]) == {}
+
+
+def test_extremes_follow_changes(spark, tmp_path):
+    rows = [(i, float(i), float((i * 37) % 1000)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    whole = [RangeQuery("y", (("x", config.LOW, config.HIGH),))]
+    ends = lambda s: tuple(s.query(whole).select("min", "max").first())
+    syn = Synopsis.build(df, ["x"], "y", ("id",), config.SynopsisConfig(leaves=4, catch_up=0.1))
+    assert ends(syn) == (0.0, 999.0)
+    low = [r for r in rows if r[2] < 3]
+    log = spark.createDataFrame([("I", 5000, 10.0, 7777.0), ("I", 5001, 10.0, -5.0), ("D", 5001, 10.0, -5.0), *[("D", *r) for r in low]], "op string, id long, x double, y double")
+    after = syn.apply(log)
+    assert ends(after) == (3.0, 7777.0)
+    after.save(str(tmp_path))
+    assert ends(Synopsis.load(spark, str(tmp_path))) == (3.0, 7777.0)
+    some = spark.createDataFrame([("D", *r) for r in rows if r[1] < 300 and r[2] < 500] + [("I", 6000, 10.0, 900.0)], "op string, id long, x double, y double")
+    assert ends(syn.apply(some)) == (None, 999.0)
