@@ -13,6 +13,7 @@ from .functions import geometry, scalars
 from .operators import accuracy, estimate, partition, sampling, summary, workload
 from .operators.partition import Leaves
 from .plans.query import RangeQuery, any_of
+from .shared import new_path
 from .sources import tables
 from .streaming import changes
 
@@ -362,7 +363,7 @@ def changelog_agg(spark, sf):
 @query(f"WITH {EV}, {cuts_sql()}, log AS ({LOG}) {LOG_SUM}")
 def changelog_stream(spark, sf):
     ev = events(spark, sf)
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/leafcast-work").rstrip("/") + f"/leafcast/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     log = _log(ev)
     log.write.parquet(f"{base}/log")
     name = f"leaf_changes_{uuid.uuid4().hex}"
