@@ -6,7 +6,8 @@ Steps, and what moves in each:
 2. Band keys shared by two or more classes are buckets. Each member is paired with its bucket's smallest member (a star, not all pairs), and the pairs
    are verified on the full sets; the links are united.
 3. Buckets whose members aren't all in one component are opened again: members of different components are compared by signature and folded set, in blocks
-   of bounded size, and what passes is verified as well. After this no pair of a bucket is left undecided.
+   of bounded size, and what passes is verified as well. After this every pair of a bucket is linked, in one component by other links, or under 0.75 by its sets or by half of
+   its places (see LEAST_AGREEMENT).
 4. Union-find runs in rounds of contraction over the links, each round a few aggregates and joins.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  binds pa.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,10 +217,11 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
 def _late_links(group: pa.Table) -> pa.Table:
     """Pairs of one block pair whose components differ, whose sizes allow 0.75, whose signatures agree, and whose folded sets overlap enough.
 
-    A pair that shares several buckets is looked at in its first band alone. Folding sets to 32 bits can only add to an overlap, so no link is lost here;
-    what is returned is verified on the full sets afterwards. Nothing but such pairs leaves the task, however many members are alike.
+    A pair that shares several buckets is looked at in its first band alone, found on the keys that make the buckets. Folding sets to 32 bits can only add to an
+    overlap, so no link is lost here; what is returned is verified on the full sets afterwards. Nothing but such pairs leaves the task, however many members are alike.
     """
     node, root, n, band = (group.column(c).to_numpy() for c in ("node", "root", "n", "band"))
+    keys = np.asarray(pa.compute.list_flatten(group.column("bands"))).reshape(len(node), BANDS)
     first, second = group.column("first").to_numpy(zero_copy_only=False).astype(bool), group.column("second").to_numpy(zero_copy_only=False).astype(bool)
     sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
     small = [np.frombuffer(x, "<u4") for x in group.column("small").to_pylist()]
@@ -232,10 +235,8 @@ def _late_links(group: pa.Table) -> pa.Table:
     for i in turn.tolist():
         fits = ((first & second[i]) | (second & first[i])) & (root != root[i]) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n) & (late > i)
         at = np.flatnonzero(fits)
-        same = sig[at] == sig[i]
-        likely = same.sum(axis=1) >= least
-        at, same = at[likely], same[likely]
-        at = at[same.reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band[i]]
+        at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
+        at = at[(keys[at] == keys[i]).argmax(axis=1) == band[i]]
         own = small[i]
         for k in at.tolist():
             other = small[k]
@@ -286,11 +287,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted, p_rooted = stored(rooted, "rooted")
     undecided = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     # the star decided buckets of two members
-    opened = rooted.filter("k > 2").join(undecided, "key").join(classes.select("node", "n", "signature"), "node").join(sets.select("node", "small").hint("merge"), "node")
+    opened = rooted.filter("k > 2").join(undecided, "key").join(classes.select("node", "n", "signature", "bands"), "node").join(sets.select("node", "small").hint("merge"), "node")
     opened = opened.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     opened = opened.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    opened = opened.select("key", "i", "j", "band", "node", "root", "n", "signature", "small", (F.col("own") == F.col("i")).alias("first"), (F.col("own") == F.col("j")).alias("second"))
+    opened = opened.select("key", "i", "j", "band", "node", "root", "n", "signature", "bands", "small", (F.col("own") == F.col("i")).alias("first"), (F.col("own") == F.col("j")).alias("second"))
     more = map_groups(opened, ["key", "i", "j"], _late_links, "a long, b long").distinct()
     late, p_late = stored(verified(more, sets), "links")
     final, p_final = components(links.unionByName(late))
