@@ -1,4 +1,4 @@
-"""Best-fit packing of documents into sequences, with lower bounds that certify it and an exchange where they don't."""
+"""Best-fit packing of documents into sequences, with lower bounds that certify it and rounds of exchange where they don't."""
 
 from __future__ import annotations
 
@@ -96,62 +96,79 @@ def pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int) ->
     return map_batches(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, PIECE)
 
 
-def _packer(capacity: int, tag: int):
-    """For one group: pack, bound, and mark whose bins may be given up. A bin's id is unique over rounds and groups."""
+#: Bits of a sequence's number below the round and the part that made it.
+BIN_BITS, PART_BITS = 24, 32
+STATE = f"{PACKED}, bins long, bound long, loose boolean"
+
+
+def _packer(capacity: int, round_: int):
+    """For one group: pack it, and bound its number of bins from below. Rows that have bins already keep them unless the new packing needs fewer, so that each group
+    decides for itself. `loose` marks rows of bins that may be given up: those that aren't full, of a group that its bound doesn't certify."""
 
     def run(group: pa.Table) -> pa.Table:
         lengths = group.column("length").to_numpy()
         order = np.lexsort([group.column(c).to_numpy(zero_copy_only=False) for c in ("ids_crc32", "start", "piece")] + [group.column("doc_id").fill_null(-1).to_numpy()])
         where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
         where[order], offset[order], n = best_fit(lengths[order], capacity)
-        fill = np.bincount(where, weights=lengths, minlength=n)
         bound = least_bins(lengths, capacity)
         part = int(group.column("part")[0].as_py())
-        # the part that packed a bin is in its id
-        sequence = where + (np.int64(tag) << np.int64(60)) + (np.int64(part) << np.int64(24))
-        loose = (n > bound) & (fill[where] < capacity)
-        added = {"sequence_id": sequence, "offset": offset, "loose": loose, "bins": np.full(len(lengths), n), "bound": np.full(len(lengths), bound)}
-        out = group.drop_columns([c for c in (*added, "part") if c in group.column_names])
-        for k, v in added.items():
-            out = out.append_column(k, pa.array(v))
-        return out
+        sequence = (np.int64(round_) << np.int64(BIN_BITS + PART_BITS)) + (np.int64(part) << np.int64(BIN_BITS)) + where
+        if round_:
+            held = group.column("sequence_id").to_numpy()
+            before = len(np.unique(held))
+            if n >= before:
+                sequence, offset, n = held, group.column("offset").to_numpy(), before
+        _, which = np.unique(sequence, return_inverse=True)
+        fill = np.bincount(which, weights=lengths)
+        values = {"sequence_id": sequence, "offset": offset, "bins": np.full(len(lengths), n), "bound": np.full(len(lengths), bound), "loose": (n > bound) & (fill[which] < capacity)}
+        kept = [x.split()[0] for x in PIECE.split(", ")]
+        return pa.table({**{c: group.column(c) for c in kept}, **values})
 
     return run
 
 
-STATE = f"{PACKED}, loose boolean, bins long, bound long"
-
-
-def pack(found: DataFrame, capacity: int, rows_per_part: int = 8192) -> DataFrame:
-    """Places of pieces (columns of `pieces`, each at most `capacity` long) in sequences: their rows with sequence_id and offset.
+def pack(found: DataFrame, capacity: int, rows_per_part: int = 8192, together: int = 4, least_gain: float = 1e-4) -> DataFrame:
+    """Places of pieces (columns of `pieces`, each at most `capacity` long) in sequences: their rows with sequence_id, offset, and `bins` and `bound`: how many sequences
+    their part needs and the least that any packing of it could need.
 
     Pieces are dealt by hash to parts of about `rows_per_part`, each packed by best-fit decreasing in one task. Dual feasible bounds certify a part whose
-    number of bins equals its bound: nothing can better it. The other parts give up their bins that aren't full; what they gave up is dealt anew to parts
-    of the same size, over the whole table, and packed again, and a new part replaces the old bins. A redealt part can only be taken as a whole, so the second
-    packing is kept if it needs fewer bins in all than the bins given up, and dropped otherwise. Equal rows are interchangeable, so a rerun gives the same sequences.
-    An empty table gives no rows.
+    number of bins equals its bound: nothing can better it. The other parts give up their bins that aren't full. Round after round, what they gave up is dealt anew
+    to groups of up to `together` parts' rows, each packed again, and each group takes its new bins if they are fewer. Rounds end when all groups are certified, or
+    when a round saves no bin, or less than `least_gain` of those given up. A hash deals repeated rows to different parts, so one that holds a third of the table is no group of its own. An empty table
+    gives no rows.
     """
     spark = found.sparkSession
     n = found.count()
-    deal = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
+    columns = [x.split()[0] for x in PACKED.split(", ")] + ["bins", "bound"]
+    # the number of a row in a written table: equal rows have different ones, and a task that is run again gives the same
+    dealt = found.withColumn("deal", F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id()))
     parts = max(1, -(-n // rows_per_part))
-    first, p1 = stored(map_groups(found.withColumn("part", F.pmod(deal, F.lit(parts))), ["part"], _packer(capacity, 0), STATE), "packed")
-    loose = first.filter("loose")
-    old = loose.agg(F.countDistinct("sequence_id").alias("bins"), F.count("*").alias("rows")).first()
-    done = first.select(*[c.split()[0] for c in PACKED.split(", ")])
-    if not old["rows"]:
-        return done
-    parts = max(1, -(-old["rows"] // rows_per_part))
-    again = map_groups(loose.withColumn("part", F.pmod(F.xxhash64(deal, F.lit(1)), F.lit(parts))), ["part"], _packer(capacity, 1), STATE)
-    second, p2 = stored(again, "repacked")
-    new = second.agg(F.countDistinct("sequence_id").alias("bins")).first()["bins"]
-    if new >= old["bins"]:
-        drop(spark, p2)
-        return done
-    return first.filter("not loose").select(*done.columns).unionByName(second.select(*done.columns))
+    state, path = stored(map_groups(dealt.withColumn("part", F.pmod("deal", F.lit(parts))).drop("deal"), ["part"], _packer(capacity, 0), STATE), "packed")
+    done, paths, round_ = state.filter("not loose"), [path], 0
+    loose = state.filter("loose")
+    while True:
+        left = loose.agg(F.count("*").alias("rows"), F.countDistinct("sequence_id").alias("bins")).first()
+        # a single bin can't get better
+        if left["bins"] < 2:
+            break
+        round_ += 1
+        groups = max(1, -(-left["rows"] // (together * rows_per_part)))
+        # rows of a bin go together, else bins could not be counted in their group
+        again = loose.withColumn("part", F.pmod(F.xxhash64("sequence_id", F.lit(round_)), F.lit(groups))).drop("bins", "bound", "loose")
+        state, path = stored(map_groups(again, ["part"], _packer(capacity, round_), STATE), "repacked")
+        paths.append(path)
+        saved = left["bins"] - state.agg(F.countDistinct("sequence_id")).first()[0]
+        done, loose = done.unionByName(state.filter("not loose")), state.filter("loose")
+        if saved < max(1, least_gain * left["bins"]):
+            break
+    out, _ = stored(done.unionByName(loose).select(*columns), "sequences")
+    drop(spark, *paths)
+    return out
 
 
 def best_fit_packing(docs: DataFrame, tokenizer_json: str, end_id: int = 0, capacity: int = 2048, rows_per_part: int = 8192) -> DataFrame:
-    """Encode, cut and pack all documents: one row for each piece, with its sequence and its place there (no gaps, from 0)."""
-    found, _ = stored(pieces(docs, tokenizer_json, end_id, capacity), "pieces")
-    return pack(found, capacity, rows_per_part)
+    """Encode, cut and pack all documents: one row for each piece, with its sequence and its place there (no gaps, from 0), and the certificate of its part (see `pack`)."""
+    found, path = stored(pieces(docs, tokenizer_json, end_id, capacity), "pieces")
+    out = pack(found, capacity, rows_per_part)
+    drop(docs.sparkSession, path)
+    return out

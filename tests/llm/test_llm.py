@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -378,6 +379,32 @@ def test_packing(docs, edge, empty, tokenizer):
     assert packing.best_fit_packing(empty, tokenizer).count() == 0
 
 
+def test_exchange_rounds_on_lengths_that_fit_badly(spark):
+    rng = random.Random(6)
+    # each part alone has thirds and halves left over; together they fit better
+    lengths = [rng.choice((40, 41, 33, 34, 50, 51, 26)) for _ in range(600)]
+    table = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    for size in (16, 100, 1000):
+        got = rows(packing.pack(table, 100, rows_per_part=size))
+        used, parts = defaultdict(int), defaultdict(set)
+        for r in got:
+            used[r["sequence_id"]] += r["length"]
+            parts[r["sequence_id"] >> packing.BIN_BITS].add((r["bins"], r["bound"]))
+            assert r["bins"] >= r["bound"]
+        assert sorted(r["length"] for r in got) == sorted(lengths) and max(used.values()) <= 100
+        alone = sum(packing.best_fit(np.array([r["length"] for r in got if r["sequence_id"] >> packing.BIN_BITS == p]), 100)[2] for p in parts)
+        assert packing.least_bins(np.array(lengths), 100) <= len(used) <= alone
+        first = rows(packing.pack(table, 100, rows_per_part=size, least_gain=2.0))
+        assert len(used) <= len({r["sequence_id"] for r in first})
+
+
+def test_repeated_rows_are_dealt_to_many_parts(spark):
+    table = spark.createDataFrame([(7, 0, 0, 30, 1)] * 5000, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = rows(packing.pack(table, 100, rows_per_part=500))
+    used = Counter(r["sequence_id"] for r in got)
+    assert len(got) == 5000 and max(used.values()) == 3 and len({s >> packing.BIN_BITS for s in used}) > 3
+
+
 def test_bounds_and_best_fit():
     rng = np.random.default_rng(5)
     for _ in range(100):
@@ -539,6 +566,26 @@ def test_super_minhash_estimates_similarity():
     assert (alone[0] == sig[3]).all() and sorted(alone[0] >> 24) == list(range(160))
 
 
+def test_late_pairs_are_met_in_the_band_whose_bucket_they_share():
+    """Signatures folded to 16 bits may agree in a band whose keys differ; the pair must still be compared in the first band whose keys agree."""
+    rng = np.random.default_rng(4)
+    n, places = 20_000, near_dup.BANDS * near_dup.ROWS
+    one = rng.integers(0, 2**32, (n, places), dtype=np.uint64)
+    other = np.where(rng.random((n, places)) < 0.75, one, rng.integers(0, 2**32, (n, places), dtype=np.uint64))
+    fold = lambda s: (near_dup.mix(s) & np.uint64(0xF)).astype("<u2")  # noqa: E731  4 bits, so that folding alone agrees often
+    a, b = near_dup.band_keys(one.astype(np.uint32)), near_dup.band_keys(other.astype(np.uint32))
+    folded = (fold(one) == fold(other)).reshape(n, near_dup.BANDS, near_dup.ROWS).all(axis=2)
+    misled = np.flatnonzero((a == b).any(axis=1) & (folded.argmax(axis=1) != (a == b).argmax(axis=1)))[:50]
+    assert len(misled) == 50
+    small = np.arange(100, dtype="<u4").tobytes()
+    for i in misled:
+        group = pa.table({
+            "node": [1, 2], "root": [1, 2], "n": [100, 100], "band": [int((a[i] == b[i]).argmax())] * 2, "first": [True, True], "second": [True, True],
+            "signature": [fold(one[i]).tobytes(), fold(other[i]).tobytes()], "bands": [a[i].tolist(), b[i].tolist()], "small": [small, small],
+        })
+        assert near_dup._late_links(group).num_rows == 1
+
+
 def test_union_find_on_a_path(spark):
     n = 60
     labels, paths = near_dup.components(spark.createDataFrame([(i, i + 1) for i in range(n)] + [(100, 101)], "a long, b long"))
