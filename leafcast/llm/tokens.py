@@ -33,18 +33,18 @@ BYTE_CHARACTERS = _byte_characters()
 class WordEncoder:
     """Ids of a text under a tokenizer that drops white space and lower-cases: text -> packed ids of `dtype`.
 
-    Such a tokenizer's ids of a text are those of its white-space-separated words in turn, so a word is encoded once and its packed ids are
-    kept; at `most` words the store starts anew, which bounds memory. `whole=True` encodes each text at once, for tokenizers whose white
+    Such a tokenizer's ids of a text are those of its white-space-separated words in turn, so a word is encoded once and its packed ids are kept. They are kept in
+    two generations: when the younger holds `most` words it becomes the older, whose words move up when they are met again, so what is frequent stays and memory is bounded. `whole=True` encodes each text at once, for tokenizers whose white
     space has ids of its own.
     """
 
-    def __init__(self, tokenizer_json: str, whole: bool = False, most: int = 900_000):
+    def __init__(self, tokenizer_json: str, whole: bool = False, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.whole, self.most, self.known = whole, most, {}
+        self.whole, self.most, self.known, self.older = whole, most, {}, {}
         self.bare = None if whole else self._bare(tokenizer_json)
 
     def _bare(self, tokenizer_json: str):
@@ -77,8 +77,11 @@ class WordEncoder:
             return
         cut = [self._words(t) for t in texts]
         if len(self.known) >= self.most:
-            self.known.clear()
-        new = list(set().union(*cut) - self.known.keys()) if cut else []
+            self.known, self.older = {}, self.known
+        met = set().union(*cut) - self.known.keys() if cut else set()
+        again = met & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        new = list(met - again)
         plain = [w for w in new if w.isalpha() and w.islower() and not BEYOND_LATIN.search(w)] if self.bare else []
         for words, encode in ((plain, self._merged), (list(set(new).difference(plain)), self._packed)):
             for at in range(0, len(words), 20_000):
