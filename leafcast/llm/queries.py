@@ -88,17 +88,20 @@ texts AS (
   SELECT doc_id, 0 AS kind, text FROM t
   UNION ALL
   SELECT doc_id, 1, substring(text, 1, n - n // 2) || substring(next_text, 1, n // 2) FROM nexts),
-units AS (SELECT doc_id, kind, text, regexp_extract_all(text, '[^\x20\x09-\x0D]{1,8}') AS u FROM texts),
+units AS (
+  SELECT doc_id, kind, text, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]{1,8}'), lambda x: ('0x' || substring(md5(x), 1, 8))::BIGINT) AS u FROM texts),
 grams AS (SELECT doc_id, kind, u, unnest(range(greatest(len(u) - 4, least(len(u), 1)))) AS pos FROM units),
 hashed AS (
-  SELECT doc_id, kind, pos, ('0x' || substring(md5(array_to_string(u[pos + 1 : pos + 5], ' ')), 1, 15))::BIGINT AS h FROM grams),
+  SELECT doc_id, kind, pos,
+         list_reduce(list_prepend(0::BIGINT, u[pos + 1 : pos + 5]), lambda a, x: (a * 1000003 + x) % 2147483647) AS h,
+         list_reduce(list_prepend(0::BIGINT, u[pos + 1 : pos + 5]), lambda a, x: (a * 998244353 + x) % 2147483647) AS h2 FROM grams),
 minima AS (
   SELECT doc_id, kind, pos, count(*) OVER p AS k, row_number() OVER (PARTITION BY doc_id, kind ORDER BY pos) AS r,
-         min(h::HUGEINT * 1099511627776 + (1099511627775 - pos)) OVER (PARTITION BY doc_id, kind ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS m
+         min(h * 4294967296 + (4294967295 - pos)) OVER (PARTITION BY doc_id, kind ORDER BY pos ROWS BETWEEN CURRENT ROW AND 15 FOLLOWING) AS m
   FROM hashed WINDOW p AS (PARTITION BY doc_id, kind)),
-chosen AS (
-  SELECT DISTINCT doc_id, kind, (m // 1099511627776)::BIGINT AS h, (1099511627775 - m % 1099511627776)::BIGINT AS pos
-  FROM minima WHERE r <= greatest(k - 15, 1)),
+picked AS (
+  SELECT DISTINCT doc_id, kind, (4294967295 - m % 4294967296)::BIGINT AS pos FROM minima WHERE r <= greatest(k - 15, 1)),
+chosen AS (SELECT p.doc_id, p.kind, h * 2147483648 + h2 AS h, p.pos FROM picked p JOIN hashed g ON g.doc_id = p.doc_id AND g.kind = p.kind AND g.pos = p.pos),
 lists AS (
   SELECT doc_id, kind, count(*) AS n, string_agg(h || ':' || pos, ',' ORDER BY pos) AS listed, list_distinct(list(h)) AS hs FROM chosen GROUP BY doc_id, kind),
 full_lists AS (

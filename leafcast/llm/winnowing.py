@@ -1,11 +1,14 @@
 """Document fingerprints by winnowing. DataFrame functions only.
 
-A text is read as units: runs between white space, cut every 8 code points. Each run of K units is hashed; of every W consecutive hashes the least is kept, the
+A text is read as units: runs between white space, cut every 8 code points. Each unit is hashed once, to a number; a run of K units has the rolling hash
+u[i] * B**4 + ... + u[i + 4] mod P, which each run could have from the one before by dropping a unit and taking one in. Of every W consecutive hashes the least is kept, the
 rightmost of equal ones, with its position. Any passage of K + W - 1 = 20 or more units that two texts share, cut alike, gives them a common fingerprint.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,15 +18,32 @@ from .common import id_edges
 K = 5
 W = 16
 UNIT = r"[^\x20\x09-\x0D]{1,8}"
+#: Modulus and bases of the rolling hashes: one orders the runs of a window, the other makes a kept hash 62 bits long.
+P, B, B2 = 2**31 - 1, 1_000_003, 998_244_353
+#: Positions are counted down from here below a hash, so that the least number is that of the least hash, the rightmost of equal ones.
+LAST = 2**32 - 1
+
+
+def unit_numbers(text: Column) -> Column:
+    """A number below 2**32 for each unit: the first 8 hexadecimal digits of its MD5. Empty for null and blank texts."""
+    units = F.coalesce(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), F.array().cast("array<string>"))
+    return F.transform(units, lambda u: F.conv(F.substring(F.md5(u.cast("binary")), 1, 8), 16, 10).cast("long"))
+
+
+def run_hash(units: Column, at: Column, base: int) -> Column:
+    """Rolling hash of the K units from place `at` on; of all units, if there are fewer."""
+    first = F.get(units, at) % P
+    for j in range(1, K):
+        first = (first * base + F.get(units, at + j)) % P
+    few = F.aggregate(units, F.lit(0).cast("long"), lambda a, u: (a * base + u) % P)
+    return F.when(F.size(units) >= K, first).otherwise(few)
 
 
-def gram_hashes(units: Column) -> Column:
-    """Hash and position of each run of K units (of all units, if there are fewer): array of (h: 15 hexadecimal digits, back: the position's negative), so that the
-    least struct is that of the least hash, the rightmost of equal ones."""
-    runs = F.greatest(F.size(units) - (K - 1), F.least(F.size(units), F.lit(1)))
-    starts = F.when(runs > 0, F.sequence(F.lit(0), runs - 1)).otherwise(F.array().cast("array<int>"))
-    gram = lambda i: F.array_join(F.slice(units, i + 1, F.lit(K)), " ")
-    return F.transform(starts, lambda i: F.struct(F.substring(F.md5(gram(i).cast("binary")), 1, 15).alias("h"), (-i).alias("back")))
+def runs(units: Column) -> Column:
+    """Each run's hash and place in one number."""
+    n = F.greatest(F.size(units) - (K - 1), F.least(F.size(units), F.lit(1)))
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.shiftleft(run_hash(units, i, B), 32) + (F.lit(LAST) - i))
 
 
 def _least_of_next(a: Column, step: int) -> Column:
@@ -34,21 +54,20 @@ def _least_of_next(a: Column, step: int) -> Column:
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     """Adds `name`: the fingerprint of column `text`, an array of (h, pos) in order of position; empty for null and blank texts.
 
-    Window minima come from log2(W) passes that double the span. Each step is a column of its own, so that no array is computed anew for each of its elements. Hashes
-    become numbers once they are chosen.
+    Window minima come from log2(W) passes that double the span. Each step is a column of its own, so that no array is computed anew for each of its elements.
     """
     others = [c for c in df.columns if c != name]
-    t = "__step"
-    units = F.coalesce(F.regexp_extract_all(F.col(text), F.lit(UNIT), F.lit(0)), F.array().cast("array<string>"))
-    step = df.select(*others, units.alias(t))
-    step = step.select(*others, gram_hashes(F.col(t)).alias(t))
+    t, u = "__step", "__units"
+    step = df.select(*others, unit_numbers(F.col(text)).alias(u))
+    step = step.select(*others, u, runs(F.col(u)).alias(t))
     span = 1
     while span < W:
-        step = step.select(*others, _least_of_next(F.col(t), span).alias(t))
+        step = step.select(*others, u, _least_of_next(F.col(t), span).alias(t))
         span *= 2
-    step = step.select(*others, F.slice(t, F.lit(1), F.greatest(F.size(t) - (W - 1), F.lit(1))).alias(t))
-    step = step.select(*others, F.filter(t, lambda x, i: (i == 0) | (F.get(F.col(t), i - 1)["back"] != x["back"])).alias(t))
-    chosen = F.transform(t, lambda x: F.struct(F.conv(x["h"], 16, 10).cast("long").alias("h"), (-x["back"]).alias("pos")))
+    step = step.select(*others, u, F.slice(t, F.lit(1), F.greatest(F.size(t) - (W - 1), F.lit(1))).alias(t))
+    step = step.select(*others, u, F.filter(t, lambda x, i: (i == 0) | (F.get(F.col(t), i - 1) != x)).alias(t))
+    step = step.select(*others, u, F.transform(t, lambda x: F.struct(F.shiftright(x, 32).alias("h"), (F.lit(LAST) - x.bitwiseAND(F.lit(LAST))).cast("int").alias("pos"))).alias(t))
+    chosen = F.transform(t, lambda x: F.struct((x["h"] * (P + 1) + run_hash(F.col(u), x["pos"], B2)).alias("h"), x["pos"].alias("pos")))
     return step.select(*others, chosen.alias(name))
 
 
@@ -72,19 +91,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def with_next(df: DataFrame, take: dict[str, str], rows_per_bucket: int = 2000) -> DataFrame:
     """Each row with columns of the row of next higher doc_id (the first's, for the last). `take`: new names and columns.
 
-    Rows are dealt to ranges of doc_id by approximate quantiles (at most 4096 edges), and the first row of each range also goes to the range before it, so that one shuffle and
-    a window over each range suffice. Null ids come first, equal ids in the order of their texts.
+    Rows are dealt to ranges of doc_id by approximate quantiles, and the first row of each range also goes to the range before it, so that one shuffle and
+    a window over each range suffice. Ranges follow the rows up to 65,536 of them; beyond 10**8 rows a range grows and is sorted on disk, as any sort is. Null ids come first, equal ids in the order of their texts.
     """
     df = df.withColumn("doc_id", F.col("doc_id").cast("long"))
     edges = id_edges(df, "doc_id", rows_per_bucket)
+    stretch = max(64, math.isqrt(len(edges)))
     below = lambda a: F.size(F.filter(a, lambda e: e <= F.col("doc_id")))
     if edges:
-        chunks = [edges[i : i + 64] for i in range(0, len(edges), 64)]
+        chunks = [edges[i : i + stretch] for i in range(0, len(edges), stretch)]
         longs = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
         chunk = below(longs([c[0] for c in chunks])).cast("int")
         lists = F.split(F.lit(";".join(",".join(map(str, c)) for c in chunks)), ";")
         own = F.split(F.get(lists, chunk - 1), ",").cast("array<bigint>")
-        bucket = F.when(F.col("doc_id").isNull() | (chunk == 0), 0).otherwise((chunk - 1) * 64 + below(own)).cast("int")
+        bucket = F.when(F.col("doc_id").isNull() | (chunk == 0), 0).otherwise((chunk - 1) * stretch + below(own)).cast("int")
     else:
         bucket = F.lit(0)
     dealt = df.withColumn("__bucket", bucket)

@@ -56,6 +56,40 @@ def test_fingerprints_against_sql(spark):
     assert got.sort_values("doc_id").reset_index(drop=True).equals(want.sort_values("doc_id").reset_index(drop=True).astype(got.dtypes))
 
 
+def test_fingerprints_against_a_rolling_hash(spark):
+    """Hashes from one running value, and minima by looking at every window."""
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(("a", "b", "longerword", "Ünï", "x" * 30)) for _ in range(n)) for n in (0, 1, 3, 4, 5, 6, 20, 21, 60, 400)]
+    got = {r["doc_id"]: [tuple(x) for x in r["fingerprint"]] for r in rows(winnowing.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    for k, t in enumerate(texts):
+        units = [w[i : i + 8] for w in t.split() for i in range(0, len(w), 8)]
+        u = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in units]
+        found = []
+        for base in (winnowing.B, winnowing.B2):
+            value, out = 0, []
+            for i, x in enumerate(u):
+                if i >= winnowing.K:
+                    value = (value - u[i - winnowing.K] * base ** (winnowing.K - 1)) % winnowing.P
+                value = (value * base + x) % winnowing.P
+                if i >= min(len(u), winnowing.K) - 1:
+                    out.append(value)
+            found.append(out)
+        places = range(max(1, len(found[0]) - winnowing.W + 1)) if u else ()
+        chosen = {min(range(i, min(i + winnowing.W, len(found[0]))), key=lambda j: (found[0][j], -j)) for i in places}
+        assert got[k] == [(found[0][j] * 2**31 + found[1][j], j) for j in sorted(chosen)]
+
+
+def test_shared_passages_share_fingerprints(spark):
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randrange(10**5)}" for _ in range(n)]
+    pairs = []
+    for i in range(60):
+        passage = words(20)
+        pairs += [(2 * i, " ".join(words(rng.randrange(40)) + passage + words(rng.randrange(40)))), (2 * i + 1, " ".join(words(rng.randrange(40)) + passage + words(rng.randrange(40))))]
+    got = {r["doc_id"]: {x["h"] for x in r["fingerprint"]} for r in rows(winnowing.fingerprints(spark.createDataFrame(pairs, "doc_id long, text string")))}
+    assert all(got[2 * i] & got[2 * i + 1] for i in range(60))
+
+
 def test_fingerprints_of_edge_cases(edge, empty):
     got = rows(winnowing.compare_with_edits(edge))
     assert len(got) == len(EDGE) and winnowing.compare_with_edits(empty).count() == 0
