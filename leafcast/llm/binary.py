@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, drop, map_batches, new_path
+from .common import BATCH_BYTES, batches, drop, map_batches, new_path
 from .tokens import encoder_of
 
 GAMMA = 2.0
@@ -173,20 +173,21 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, end_id: int, path: str) -
 
         text, last = sent.value
         encode = encoder_of(text)
-        end, width = np.array([last], encode.dtype).tobytes(), encode.dtype.itemsize
+        width = encode.dtype.itemsize
         shard = TaskContext.get().partitionId()
         name = f"{path}/shard-{shard:06d}-{uuid.uuid4().hex}"
         fs, base = _fs(name)
         keys, lengths, out = [], [], None
-        for batch in batches(parts, "text"):
+        for batch in batches(parts, "text", BATCH_BYTES):
             if out is None:
                 fs.create_dir(base.rsplit("/", 1)[0], recursive=True)
                 out = fs.open_output_stream(f"{base}.bin")
             keys += batch.column("doc_id").to_pylist()
-            for ids in encode(batch.column("text").to_pylist()):
-                out.write(ids)
-                out.write(end)
-                lengths.append(len(ids) // width + 1)
+            ids, ends = encode(batch.column("text"))
+            sizes = np.diff(ends)
+            # an end id after each document
+            out.write(np.insert(ids, ends[1:], last).tobytes())
+            lengths += (sizes + 1).tolist()
         if out is None:
             return
         out.close()

@@ -27,7 +27,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 #: Bytes of a batch on its way to a Python worker, and bytes of text that an operator cuts into words at a time: a word's object takes some ten times its letters.
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 4_000_000
 CUT_BYTES = 1_000_000
 
 

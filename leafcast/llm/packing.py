@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, drop, map_batches, map_groups, stored
+from .common import BATCH_BYTES, batches, drop, map_batches, map_groups, stored
 from .tokens import encoder_of
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -79,14 +79,16 @@ def pieces(docs: DataFrame, tokenizer_json: str, end_id: int, capacity: int) ->
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, last = sent.value
         encode = encoder_of(text)
-        for batch in batches(parts, "text"):
+        for batch in batches(parts, "text", BATCH_BYTES):
             ids, number, start, length, crc = [], [], [], [], []
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-                whole = np.append(np.frombuffer(packed, encode.dtype), last).astype("<u4")
-                for k, at in enumerate(range(0, len(whole), capacity)):
+            found, ends = encode(batch.column("text"))
+            found, ends = found.astype("<u4"), ends.tolist()
+            for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+                whole = np.append(found[ends[k] : ends[k + 1]], last).astype("<u4")
+                for i, at in enumerate(range(0, len(whole), capacity)):
                     part = whole[at : at + capacity]
                     ids.append(doc_id)
-                    number.append(k)
+                    number.append(i)
                     start.append(at)
                     length.append(len(part))
                     crc.append(zlib.crc32(part.tobytes()))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -356,11 +357,22 @@ def test_automaton_on_small_vocabularies():
 
 
 def test_word_encoder_equals_the_tokenizer(tokenizer):
-    whole, words, rng = Tokenizer.from_str(tokenizer), tokens.WordEncoder(tokenizer), random.Random(4)
-    parts = ["a", "É", "e\u0301", "ß", "Σ", "İ", ".", ",", "...", "'s", " ", "\u3000", "\n", "\x1c", "\x85", "中", "1", "<|endoftext|>", "ﬁ", "Ǆ", "😀", "th***", "of%%%.", "Don't"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
-    for t, b in zip(texts, words(texts), strict=True):
-        assert whole.encode(t, add_special_tokens=False).ids == np.frombuffer(b, words.dtype).tolist(), repr(t)
+    whole, rng = Tokenizer.from_str(tokenizer), random.Random(4)
+    parts = ["a", "É", "e\u0301", "ß", "Σ", "İ", ".", ",", "...", "'s", " ", "\u3000", "\n", "\x1c", "\x85", "中", "1", "<|endoftext|>", "ﬁ", "Ǆ", "😀", "th***", "of%%%.", "Don't", "Ünï!?", "ABC."]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)] + [None, ""]
+    for some in (texts, [t for t in texts if "\x1c" not in (t or "")]):
+        # a small store, so that words move between its generations
+        for words in (tokens.WordEncoder(tokenizer), tokens.WordEncoder(tokenizer, most=100)):
+            for at in range(0, len(some), 500):
+                ids, ends = words(pa.array(some[at : at + 500], pa.string()))
+                for k, t in enumerate(some[at : at + 500]):
+                    assert whole.encode(t or "", add_special_tokens=False).ids == ids[ends[k] : ends[k + 1]].tolist(), repr(t)
+
+
+def test_arrow_cuts_at_the_same_characters_as_regular_expressions():
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and not 0x1C <= c <= 0x1F]
+    cut = pc.list_value_length(pc.utf8_split_whitespace(pa.array([f"a{c}b" for c in every]))).to_pylist()
+    assert [c for c, n in zip(every, cut, strict=True) if (n > 1) != bool(tokens.SPACE.search(c))] == []
 
 
 def expected(tokenizer, found, end):
