@@ -241,21 +241,30 @@ def training_rows(docs: DataFrame, rows: int = 2000, least: int = 4, pieces: int
     """A bounded sample for the fit: `rows` labelled documents that aren't held out, spread evenly over all labels (`least` of each at least), first in the order of a seeded
     hash; of each, `pieces` pieces of `chars` code points from seeded places all over its text.
 
-    Only these bounded pieces come to the driver. Labels are numbered, never left out. Tasks hand on the first rows of each label alone; texts are read again for the chosen ones.
+    Only these bounded pieces come to the driver. No label is left out. Rows of the most frequent labels are thinned by a hash before any is ranked, so that what meets in
+    one task doesn't grow with the table; texts are read again for the chosen rows.
     """
     rank = F.xxhash64(F.lit(11), "doc_id")
     usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out(F.col("doc_id"))).withColumn("rank", rank)
-    labels = usable.agg(F.countDistinct("lang")).first()[0]
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    labels = counts.count()
     if not labels:
         return []
     share = max(least, -(-rows // labels))
+    frequent = counts.filter(F.col("n") > 4 * share + 64).orderBy(F.desc("n")).limit(200).collect()
+    below = F.lit(1 << 20)
+    for r in frequent:
+        below = F.when(F.col("lang") == r["lang"], int((4 * share + 64) / r["n"] * (1 << 20)) + 1).otherwise(below)
     order = Window.partitionBy("lang").orderBy("rank")
-    chosen = usable.select("lang", "rank").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= share).select("lang", "rank").distinct()
+    thinned = usable.filter(F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(1 << 20)) < below).select("lang", "rank")
+    chosen = thinned.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= share).select("lang", "rank").distinct()
+    # `share` rows a label at most: few unless there are many labels
+    chosen = F.broadcast(chosen) if share * labels <= 100_000 else chosen
     n = F.length("text")
     place = lambda k: F.pmod(F.xxhash64("rank", F.lit(k)), F.greatest(n - chars + 1, F.lit(1))).cast("int") + 1
     cut = F.array_distinct(F.array(*(F.substring(F.col("text"), place(k), F.lit(chars)) for k in range(pieces))))
     # `chosen` is `share` rows a label at most
-    found = usable.join(F.broadcast(chosen), ["lang", "rank"], "left_semi").select("lang", "rank", F.xxhash64("text").alias("h"), cut.alias("cut"))
+    found = usable.join(chosen, ["lang", "rank"], "left_semi").select("lang", "rank", F.xxhash64("text").alias("h"), cut.alias("cut"))
     found = found.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "h"))).filter(F.col("n") <= share).collect()
     ordered = sorted(found, key=lambda r: (r["lang"], r["rank"], r["h"]))
     return [(t, r["lang"]) for r in ordered for t in r["cut"] if t]
