@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -54,20 +55,38 @@ def band(limits: tuple[tuple[int, float, float], ...], size: int) -> tuple[float
 
 def repeated_words(words: list[bytes]) -> int:
     """Words covered by some 5-word window that occurs twice or more in the text, the first occurrence included."""
-    if len(words) <= WINDOW:
-        return 0
-    windows = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
-    seen = Counter(windows)
-    if len(seen) == len(windows):
+    n = len(words) - WINDOW + 1
+    if n < 2:
         return 0
+    if n > LONG:
+        again = _windows_met_again(words)
+    else:
+        windows = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
+        seen = Counter(windows)
+        if len(seen) == n:
+            return 0
+        again = [i for i, w in enumerate(windows) if seen[w] > 1]
     covered, free = 0, 0  # free: the first position that is not yet covered
-    for i, w in enumerate(windows):
-        if seen[w] > 1:
-            covered += i + WINDOW - max(free, i)
-            free = i + WINDOW
+    for i in again:
+        covered += i + WINDOW - max(free, i)
+        free = i + WINDOW
     return covered
 
 
+#: Windows of longer texts are numbered in arrays, as objects for each would take some 130 bytes a word.
+LONG = 100_000
+
+
+def _windows_met_again(words: list[bytes]) -> list[int]:
+    """Places of the windows that occur twice or more: words are numbered, then ever longer runs by the pair of a run and the word after it."""
+    numbers: dict[bytes, int] = {}
+    word = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    run = word
+    for k in range(1, WINDOW):
+        _, run = np.unique(run[:-1] * len(numbers) + word[k:], return_inverse=True)
+    return np.flatnonzero(np.bincount(run)[run] > 1).tolist()
+
+
 def compression(raw: bytes, bands: Bands, compressor: zstandard.ZstdCompressor) -> tuple[float | None, int, int, bool]:
     """Ratio of the whole text, number of chunks, chunks out of band, and whether the bands accept the text."""
     if not raw:
@@ -110,7 +129,7 @@ def quality_rules(docs: DataFrame, bands: Bands = Bands(), keep_text: bool = Fal
 
     docs needs doc_id and text; every row gives one row, repeated rows and equal texts included. A null or empty text
     has no words and fails the base rule. keep_text: all input columns stay (a measure's name is then taken over by the
-    measure), else doc_id alone does. Memory: one text and its windows at a time.
+    measure), else doc_id alone does. An empty table gives no rows. Memory: a batch, and one text with its words and windows at a time.
     """
     names = [x.split()[0] for x in MEASURES.split(", ")]
     keep = [c for c in docs.columns if c not in names] if keep_text else ["doc_id"]
