@@ -141,6 +141,14 @@ def test_html_text(spark):
         assert got[i]["text"] == want and got[i]["n_chars"] == len(want)
 
 
+def test_unclosed_quotes_leak_no_markup():
+    text = lambda page: html_text.main_text(page, html_text.Rules())
+    assert text('<article><p title="abc>oops</p><p>more</p></article>') == "oops\n\nmore"
+    assert text("<article><p>one</p><p title='it>two</p></article>") == "one\n\ntwo"
+    assert text('<article><p>a</p><p class="x" title="> b">two</p></article>') == "a\n\ntwo"
+    assert "<" not in text("<article><p>one <a href=\"x'>two</a> \"three</p>" + "\"'" * 2000)
+
+
 def test_block_rules_without_an_article():
     prose = "This is the long text of the story that was in it and on the way to the end of all the things that we have been in, " * 3
     page = f"<body><div><a href=1>Home</a> <a href=2>About</a></div><h2>A heading</h2><p>{prose}</p><p>It was short.</p><p>{prose}</p><div><a>x y z</a></div></body>"
@@ -284,6 +292,17 @@ def test_quality_rules(docs, edge, empty):
     assert quality.quality_rules(empty).count() == 0
 
 
+def test_repeated_windows_of_long_texts():
+    rng = random.Random(11)
+    for vocabulary in (3, 30, 3000):
+        words = [b"w%d" % rng.randrange(vocabulary) for _ in range(3000)]
+        windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        seen = Counter(windows)
+        assert quality._windows_met_again(words) == [i for i, w in enumerate(windows) if seen[w] > 1]
+    passage = [b"p%d" % i for i in range(70_000)]
+    assert quality.repeated_words(passage + passage) == 140_000 and quality.repeated_words(passage + [b"x"] + passage[:3]) == 0
+
+
 def test_compression_bands():
     import zstandard
 
@@ -394,6 +413,46 @@ def test_token_files_round_trip(spark, docs, edge, empty, tokenizer, tmp_path):
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in rows(binary.round_trip(edge, tokenizer, 2))) == crcs
 
 
+def test_lookups_read_little_and_find_every_key(spark, tokenizer, tmp_path):
+    class Counted:
+        """A file that counts what is read of it."""
+
+        def __init__(self, raw):
+            self.raw, self.at, self.read_bytes = raw, 0, 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            self.read_bytes += n
+            return self.raw[self.at : self.at + n]
+
+    keys = np.sort(np.random.default_rng(2).integers(-(10**12), 10**12, 30_000))
+    sizes = np.random.default_rng(3).integers(1, 500, 30_000)
+    raw = binary.index_bytes(keys, np.zeros(len(keys), bool), sizes, 2)
+    file = Counted(raw)
+    index, want = binary.Index(file), np.cumsum(sizes) - sizes
+    for i in range(0, 30_000, 97):
+        file.read_bytes = 0
+        assert index.place(int(keys[i])) == (want[i], sizes[i]) and file.read_bytes < 500
+    assert sum(index.place(int(k))[0] >= 0 for k in range(5 * 10**12, 5 * 10**12 + 300)) == 0
+    again = binary.Index(raw).scan()
+    assert (again[0] == keys).all() and (again[2] == want).all() and (again[3] == sizes).all()
+    docs = spark.createDataFrame([(i // 2 if i % 50 else None, f"word {i}") for i in range(400)] + [(77, "copy")] * 300, "doc_id long, text string").repartition(6)
+    shards = binary.write_tokens(docs, tokenizer, 2, f"file://{tmp_path}/t")
+    whole, first = Tokenizer.from_str(tokenizer), {}
+    texts = defaultdict(set)
+    for r in docs.collect():
+        texts[r["doc_id"]].add((*whole.encode(r["text"], add_special_tokens=False).ids, 2))
+    for k, wanted in texts.items():
+        assert tuple(binary.lookup(shards, k).tolist()) in wanted
+    assert binary.lookup(shards, 10**9) is None and binary.lookup(shards, -5) is None and not first
+    got = sorted(rows(binary.read_tokens(spark, shards)), key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in got]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0)) and len(got) == 700
+    assert [r["start"] for r in got] == list(np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1])
+
+
 def test_perfect_hash():
     h = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64)
     f = binary.PerfectHash.build(h)
