@@ -6,15 +6,14 @@ import heapq
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import WORD, stored
+from .common import WORD, drop, stored
 
 #: Words a document may be taken, as a multiple of its size.
 MOST_REPEATS = 2
-#: Membership patterns that the driver plans for; more are refused rather than dropped. Connected parts are planned one by one, so this bounds the driver's
-#: memory; only overlaps cost more than time in proportion.
+#: Membership patterns in overlapping parts that the driver plans for; more are refused rather than dropped. Sources that share no document with another, however many, are
+#: planned where they are.
 MOST_PATTERNS = 200_000
 #: Bits of a document's place in the seeded order.
 PLACE_BITS = 60
@@ -137,74 +136,119 @@ def place(seed: int) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, sources: Column, wanted=targets, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = MOST_REPEATS) -> DataFrame:
+    """`targets` of a written table (source, size), however many sources it has: source, size, target.
+
+    Sources are numbered in order by a range sort, whose partition sizes alone come to the driver. The level that weights are multiplied by rises until all sources together hold the share;
+    each step is one aggregate, which tells those that are full at the level, and there are as many steps as times that some source is found full.
+    """
+    ordered, path = stored(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("__i", F.monotonically_increasing_id()), "sources")
+    part, within = F.shiftright("__i", 33), F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    before, starts = 0, {}
+    for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        starts[r["p"]] = before
+        before += r["n"]
+    if not starts:
+        return sizes.select("source", "size", F.lit(0.0).alias("target"))
+    offset = F.element_at(F.create_map(*(F.lit(x) for p, n in starts.items() for x in (p, n))), part)
+    turn = F.pmod(offset + within, F.lit(len(weights))).cast("int")
+    weighed, held = stored(ordered.select("source", "size", F.get(F.array(*(F.lit(float(w)) for w in weights)), turn).alias("weight")), "weighed")
+    drop(sizes.sparkSession, path)
+    full, level = F.lit(False), None
+    total = weighed.agg(F.sum("size")).first()[0]
+    while True:
+        got = weighed.agg(F.sum(F.when(full, F.col("size"))).alias("held"), F.sum(F.when(~full, F.col("weight"))).alias("open"), F.count(F.when(full, 1)).alias("n")).first()
+        if got["open"] is None:
+            break
+        new = (share * total - most * (got["held"] or 0)) / got["open"]
+        if level is not None and got["n"] == n:
+            break
+        level, n = new, got["n"]
+        full = F.lit(level) * F.col("weight") > F.lit(float(most)) * F.col("size")
+    target = F.when(full, F.lit(float(most)) * F.col("size")).otherwise(F.lit(level or 0.0) * F.col("weight"))
+    return weighed.select("source", "size", target.alias("target"))
+
+
+def _overlapping(patterns: DataFrame) -> tuple[list, set]:
+    """Patterns of several sources, and of single ones that such patterns hold, with their words: what the driver has to route. And their sources."""
+    several = patterns.filter(F.size("members") > 1).limit(MOST_PATTERNS + 1).collect()
+    if len(several) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of overlapping sources")
+    names = {s for r in several for s in r["members"]}
+    if not names:
+        return [], set()
+    table = patterns.sparkSession.createDataFrame([(s,) for s in names], "source string")
+    single = patterns.filter(F.size("members") == 1).withColumn("of", F.col("members")[0])
+    # a source for each of the patterns above at most
+    own = single.join(F.broadcast(table), F.col("of").eqNullSafe(F.col("source")), "left_semi").collect()
+    return [*several, *own], names
+
+
+def mix(docs: DataFrame, sources: Column, wanted=source_targets, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """How many words the mix takes of every document.
 
-    `sources` is an array of the sources that a document counts towards (one or several); `wanted` maps the sources' total sizes to targets. Documents are aggregated by membership
-    pattern; `route` fills the sources' targets from the patterns, first passes before second ones; within a pattern documents are
+    `sources` is an array of the sources that a document counts towards (one or several); `wanted` maps a table of the sources' total sizes (source, size) to one with their targets (target). Documents
+    are aggregated by membership pattern. A source that shares no document with another takes its target from its own words, all once before any twice; patterns of sources
+    that overlap go to `route`, which fills the targets from the patterns, first passes before second ones. Within a pattern documents are
     taken in the order of a seeded hash of their ids until its words are reached, a second time where it gives more than it has, the last one in part.
 
-    Rows: doc_id, size, members, taken (0 to 2 times size), shares (array of source and words, adding up to taken), then `carry`. Null and empty texts have size 0
-    and nothing is taken from them; a null source is a source; repeated rows are documents of their own; an empty table gives no rows.
+    Rows: doc_id, size, members, taken (0 to 2 times size), shares (array of source, words, and the source's size and target, `words` adding up to taken), then `carry`. Null and empty texts have
+    size 0 and nothing is taken from them; a null source is a source; repeated rows are documents of their own; an empty table gives no rows.
     Sizes go through a written table, so texts are read once. No pattern is gathered in one task: positions come from sums by hash bucket.
     """
     spark = docs.sparkSession
     sized, _ = stored(docs.select("doc_id", words(F.col("text")).alias("size"), F.array_sort(F.array_distinct(sources)).alias("members"), place(seed).alias("place"), *carry), "sizes")
-    totals = sized.groupBy("members").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(MOST_PATTERNS + 1).collect()
-    if len(totals) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    patterns = {tuple(r["members"]): r["words"] for r in totals}
-    sizes: dict[str | None, int] = {}
-    for p, n in patterns.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    flow = route(patterns, {s: round(t) for s, t in wanted(sizes).items()})
+    patterns, p_patterns = stored(sized.groupBy("members").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "patterns")
+    sizes, p_sizes = stored(patterns.select(F.explode("members").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("size")), "source-sizes")
+    goals, p_goals = stored(wanted(sizes).select("source", "size", F.col("target").cast("double").alias("target"), F.bround("target").cast("long").alias("quota")), "targets")
     # each pattern's words, pass after pass, are a line; sources get stretches of it
-    rows = []
-    for p, n in patterns.items():
-        at, stretches = 0, []
-        for s in sorted(flow[p], key=lambda s: (s is None, s or "")):
-            stretches.append((s, at, at + flow[p][s]))
-            at += flow[p][s]
-        rows.append((list(p), n, stretches))
-    stretch = T.StructType([T.StructField("source", T.StringType()), T.StructField("low", T.LongType()), T.StructField("high", T.LongType())])
-    plan = spark.createDataFrame(rows, T.StructType([T.StructField("members", T.ArrayType(T.StringType())), T.StructField("words", T.LongType()), T.StructField("stretches", T.ArrayType(stretch))]))
+    stretch = "array<struct<source:string,low:bigint,high:bigint,size:bigint,target:double>>"
+    single = patterns.filter(F.size("members") == 1).withColumn("of", F.col("members")[0])
+    alone = single.join(goals, F.col("of").eqNullSafe(F.col("source"))).select("members", "words", "n", "source", "size", "target", "quota")
+    met, names = _overlapping(patterns)
+    if names:
+        shared = spark.createDataFrame([(s,) for s in names], "name string")
+        alone = alone.join(F.broadcast(shared), F.col("source").eqNullSafe(F.col("name")), "left_anti")
+    one = F.struct("source", F.lit(0).cast("long").alias("low"), F.least("quota", MOST_REPEATS * F.col("words")).alias("high"), "size", "target")
+    plan = alone.select("members", "words", "n", F.array(one).cast(stretch).alias("stretches"))
+    if names:
+        found = {r["source"]: r for r in goals.join(F.broadcast(shared), F.col("source").eqNullSafe(F.col("name")), "left_semi").collect()}
+        flow = route({tuple(r["members"]): r["words"] for r in met}, {s: r["quota"] for s, r in found.items()})
+        rows = []
+        for r in met:
+            at, stretches = 0, []
+            for s, n in sorted(flow[tuple(r["members"])].items(), key=lambda x: (x[0] is None, x[0] or "")):
+                stretches.append((s, at, at + n, found[s]["size"], found[s]["target"]))
+                at += n
+            rows.append((r["members"], r["words"], r["n"], stretches))
+        plan = plan.unionByName(spark.createDataFrame(rows, f"members array<string>, words long, n long, stretches {stretch}"))
+    # a pattern's 64-bit key; nulls are marked, as the hash of an array passes over them: [a] and [a, null] would be one
+    key = F.xxhash64(F.transform("members", lambda m: F.struct(m.isNull(), m))).alias("key")
+    plan, p_plan = stored(plan.withColumn("key", key).drop("members"), "plan")
 
     # documents before one in its pattern's order: sums of whole buckets, then a running sum within the bucket
-    most = max((r["n"] for r in totals), default=1)
+    most = plan.agg(F.max("n")).first()[0] or 1
     bits = min(16, max(1, (most // 64).bit_length()))
     bucket = F.shiftrightunsigned("place", PLACE_BITS - bits).alias("bucket")
-    # a pattern's 64-bit key; nulls are marked, as the hash of an array passes over them: [a] and [a, null] would be one
-    key = F.xxhash64(F.transform("members", lambda m: F.struct(m.isNull(), m))).alias("key")
     held = sized.withColumns({"bucket": bucket, "key": key})
     sums = held.groupBy("key", "bucket").agg(F.sum("size").alias("within"))
     before = sums.select("key", "bucket", (F.sum("within").over(Window.partitionBy("key").orderBy("bucket")) - F.col("within")).alias("before"))
     inner = Window.partitionBy("key", "bucket").orderBy("place", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, 0)
     at = held.join(before, ["key", "bucket"]).withColumn("low", F.col("before") + F.sum("size").over(inner) - F.col("size"))
-    at = at.join(plan.withColumn("key", key).drop("members"), "key")
+    at = at.join(plan.drop("n"), "key")
 
     def overlap(start: Column, s: Column) -> Column:
         return F.greatest(F.lit(0), F.least(start + F.col("size"), s["high"]) - F.greatest(start, s["low"])).cast("long")
 
-    share = F.transform("stretches", lambda s: F.struct(s["source"].alias("source"), (overlap(F.col("low"), s) + overlap(F.col("low") + F.col("words"), s)).alias("words")))
-    shares = F.filter(share, lambda s: s["words"] > 0).alias("shares")
-    out = at.select("doc_id", "size", "members", shares, *carry)
-    return out.select("doc_id", "size", "members", F.aggregate("shares", F.lit(0).cast("long"), lambda a, s: a + s["words"]).alias("taken"), "shares", *carry)
+    share = F.transform("stretches", lambda s: F.struct(s["source"].alias("source"), (overlap(F.col("low"), s) + overlap(F.col("low") + F.col("words"), s)).alias("words"), s["size"].alias("size"), s["target"].alias("target")))
+    out = at.select("doc_id", "size", "members", share.alias("shares"), *carry)
+    taken = F.aggregate("shares", F.lit(0).cast("long"), lambda a, s: a + s["words"]).alias("taken")
+    drop(spark, p_patterns, p_sizes, p_goals)
+    return out.select("doc_id", "size", "members", taken, "shares", *carry)
 
 
 def mix_sources(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The contract's digest for documents with one source each: doc_id, size, source_size, target, taken, source."""
-    spark = docs.sparkSession
-    picked = docs.select("doc_id", "text", F.array(F.col("source").cast("string")).alias("of"))
-    seen: dict = {}
-
-    def wanted(sizes):
-        seen.update(sizes)
-        return targets(sizes)
-
-    out = mix(picked, F.col("of"), wanted, seed)
-    goals = targets(seen)
-    rows = [(s, int(n), float(goals[s])) for s, n in seen.items()]
-    table = spark.createDataFrame(rows, "source string, source_size long, target double")
-    got = out.withColumn("source", F.col("members")[0])
-    return got.alias("d").join(table.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("doc_id", "size", "source_size", "target", "taken", "d.source")
+    out = mix(docs.select("doc_id", "text", F.array(F.col("source").cast("string")).alias("of")), F.col("of"), seed=seed)
+    own = F.col("shares")[0]
+    return out.select("doc_id", "size", own["size"].alias("source_size"), own["target"].alias("target"), "taken", own["source"].alias("source"))

@@ -239,19 +239,38 @@ def test_targets_and_flow():
 
 def test_overlapping_sources(spark):
     table = spark.createDataFrame([(i, "w " * 10, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(30)], "doc_id long, text string, of array<string>")
-    got = rows(mixing.mix(table, F.col("of"), lambda s: {"a": 150.0, "b": 90.0}))
+    got = rows(mixing.mix(table, F.col("of"), lambda s: s.withColumn("target", F.when(F.col("source") == "a", 150.0).otherwise(90.0))))
     total = Counter()
     for r in got:
         assert sum(s["words"] for s in r["shares"]) == r["taken"] <= 20
         for s in r["shares"]:
             total[s["source"]] += s["words"]
-            assert s["source"] in r["members"]
+            assert s["words"] == 0 or s["source"] in r["members"]
     assert total == {"a": 150, "b": 90}
 
 
+def test_targets_of_many_sources_against_the_loop(spark):
+    rng = random.Random(14)
+    for n in (1, 2, 7, 400):
+        sizes = {f"s{i:04d}" if i else None: rng.choice((0, 1, 10, 1000, 10**6)) * rng.randrange(1, 9) for i in range(n)}
+        table = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(3)
+        got = {r["source"]: r["target"] for r in rows(mixing.source_targets(table))}
+        assert got == mixing.targets(sizes)
+
+
+def test_sources_that_share_nothing_stay_off_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    found = [(i, "w " * (i % 5 + 1), None, f"s{i % 40}", 0) for i in range(200)]
+    got = mixing.mix_sources(spark.createDataFrame(found, DOCS))
+    assert sorted(map(tuple, got.collect()), key=repr) == sql_rows(queries.OP4_SQL, found, got.columns)
+    both = spark.createDataFrame([(i, "w w", [f"s{i}", f"s{i + 1}"] if i < 6 else [f"s{i}"]) for i in range(0, 60, 2)], "doc_id long, text string, of array<string>")
+    with pytest.raises(ValueError):
+        mixing.mix(both, F.col("of"))
+
+
 def test_null_source_beside_another(spark):
     table = spark.createDataFrame([(i, "w " * 10, ["a", None] if i % 2 else ["a"]) for i in range(20)], "doc_id long, text string, of array<string>")
-    got = rows(mixing.mix(table, F.col("of"), lambda s: {"a": 120.0, None: 60.0}))
+    got = rows(mixing.mix(table, F.col("of"), lambda s: s.withColumn("target", F.when(F.col("source") == "a", 120.0).otherwise(60.0))))
     total = Counter()
     for r in got:
         for s in r["shares"]:
