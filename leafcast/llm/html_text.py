@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -222,7 +223,7 @@ def first_pass(block: Block, rules: Rules) -> str:
     if block.place == "aside":
         return "bad"
     words = block.text.split()
-    density = sum(w.strip(".,;:!?()\"'").lower() in rules.stop_words for w in words) / len(words)
+    density = sum(w.strip(string.punctuation).lower() in rules.stop_words for w in words) / len(words)
     links = block.linked / len(block.text)
     if block.place == "main":
         if links > rules.links and not block.heading:
