@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import config
 from .config import HIGH, LOW, SynopsisConfig
 from .functions import geometry, scalars
 from .operators import accuracy, estimate, partition, sampling, summary, workload
@@ -15,7 +16,8 @@ from .operators.partition import Leaves
 from .plans.query import RangeQuery, any_of
 from .shared import new_path
 from .sources import tables
-from .streaming import changes
+from .streaming import changes, solver, topics
+from .synopsis import Synopsis
 
 K = 16
 PART = int(1.2 * 64 * K)
@@ -58,7 +60,13 @@ def line_leaves(li: DataFrame) -> Leaves:
 
 
 def r4(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c), 4) for c in columns})
+    """Four places; eight of averages, as many of these lie on a half at four, where the order of additions decides."""
+    return df.withColumns({c: F.round(F.col(c), 8 if c == "avg" else 4) for c in columns})
+
+
+def r2(df: DataFrame) -> DataFrame:
+    """For sums in the billions: two places of the sum."""
+    return df.withColumns({"sum": F.round("sum", 2), "avg": F.round("avg", 8)})
 
 
 # SQL parts
@@ -73,7 +81,8 @@ leaves AS (SELECT (row_number() OVER (ORDER BY lo) - 1)::INTEGER AS leaf_id, lo
   SELECT -1e308::DOUBLE AS lo, min(cut) AS hi FROM cuts UNION ALL SELECT cut, coalesce(lead(cut) OVER (ORDER BY cut), 1e308::DOUBLE) FROM cuts))"""
 
 
-SUM = "CAST(sum(CAST({} AS DECIMAL(18,2))) AS DOUBLE)"
+#: Sums of doubles depend on the order of additions in their last digits, so registered queries round what they return.
+SUM = "sum({}::DOUBLE)"
 SUMMARY = f"summary AS (SELECT leaf_id, count(*) AS cnt, {SUM.format('value')} AS sum, min(value) AS min, max(value) AS max FROM ev JOIN leaves ON x >= lo_x AND x < hi_x GROUP BY leaf_id)"
 SAMPLE = f"sample AS (SELECT event_id, x, value, leaf_id FROM ev JOIN leaves ON x >= lo_x AND x < hi_x WHERE substr(sha256('s|' || event_id::VARCHAR), 1, 8) < '{scalars.below(RATE)}')"
 BASE = f"WITH {EV}, {cuts_sql()}, {SUMMARY}, {SAMPLE}"
@@ -99,16 +108,17 @@ def hybrid_sql(queries: list[RangeQuery], attrs: tuple[str, ...], target: str, l
     return f"""{queries_sql(queries, attrs)},
 classes AS (SELECT q.*, l.leaf_id, {over} AS covered FROM q JOIN leaves l ON {both}),
 rows_in AS (SELECT c.qid, c.leaf_id, s.{target} AS v, ({inside}) AS ins FROM classes c JOIN sample s ON s.leaf_id = c.leaf_id WHERE NOT c.covered {cap}),
-found AS (SELECT qid, leaf_id, count(*)::DOUBLE AS n, count(*) FILTER (WHERE ins)::DOUBLE AS m, CAST(sum(CAST(v AS DECIMAL(18,2))) FILTER (WHERE ins) AS DOUBLE) AS s,
+found AS (SELECT qid, leaf_id, count(*)::DOUBLE AS n, count(*) FILTER (WHERE ins)::DOUBLE AS m, sum(v::DOUBLE) FILTER (WHERE ins) AS s,
   min(v) FILTER (WHERE ins) AS min, max(v) FILTER (WHERE ins) AS max FROM rows_in GROUP BY qid, leaf_id),
 each_leaf AS (SELECT c.qid, c.leaf_id, u.cnt::DOUBLE AS cnt, u.sum AS leaf_sum, f.n, f.m, f.s, f.min, f.max FROM classes c JOIN summary u ON u.leaf_id = c.leaf_id LEFT JOIN found f ON f.qid = c.qid AND f.leaf_id = c.leaf_id WHERE NOT c.covered),
 parts AS (SELECT c.qid, u.cnt::DOUBLE AS cnt, u.sum, u.min, u.max FROM classes c JOIN summary u ON u.leaf_id = c.leaf_id WHERE c.covered UNION ALL {part}),
 answer AS (SELECT q.qid, coalesce(sum(p.cnt), 0) AS cnt, coalesce(sum(p.sum), 0) AS sum, min(p.min) AS min, max(p.max) AS max FROM q LEFT JOIN parts p ON p.qid = q.qid GROUP BY q.qid)"""
 
 
-ANSWER = "SELECT qid, round(cnt, 4) AS cnt, round(sum, 4) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 4) AS avg, min, max FROM answer"
+ANSWER = "SELECT qid, round(cnt, 4) AS cnt, round(sum, 4) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 8) AS avg, min, max FROM answer"
 EXACT = f"exact AS (SELECT q.qid, count(x) AS cnt, coalesce({SUM.format('value')}, 0) AS sum, min(value) AS min, max(value) AS max FROM q LEFT JOIN ev ON x >= lo_x AND x < hi_x GROUP BY q.qid)"
-EXACT_OUT = "SELECT qid, cnt, sum, CASE WHEN cnt > 0 THEN sum / cnt END AS avg, min, max FROM "
+EXACT_OUT = "SELECT qid, cnt, round(sum, 2) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 8) AS avg, min, max FROM "
+SUMMARY_OUT = "SELECT leaf_id, cnt, round(sum, 4) AS sum, min, max FROM summary"
 
 ND_CONDITION = " AND ".join(f"{a} >= lo_{a} AND {a} < hi_{a}" for a in ND)
 KD = f"""keyed AS (SELECT *, sha256('p|' || l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey) AS h FROM lineitem),
@@ -129,12 +139,12 @@ ND_SAMPLE = f"sample AS (SELECT k.*, leaf_id FROM lineitem k JOIN leaves ON {ND_
 
 @query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, {EXACT} {EXACT_OUT} exact")
 def exact_range_1d(spark, sf):
-    return estimate.exact(events(spark, sf), QUERIES, "value")
+    return r2(estimate.exact(events(spark, sf), QUERIES, "value"))
 
 
 @query(f"WITH {queries_sql(ND_QUERIES, ND)}, exact AS (SELECT q.qid, count(l_quantity) AS cnt, coalesce({SUM.format('l_extendedprice')}, 0) AS sum, min(l_extendedprice) AS min, max(l_extendedprice) AS max FROM q LEFT JOIN lineitem ON {ND_CONDITION} GROUP BY q.qid) {EXACT_OUT} exact")
 def exact_range_nd(spark, sf):
-    return estimate.exact(lineitem(spark, sf), ND_QUERIES, "l_extendedprice")
+    return r2(estimate.exact(lineitem(spark, sf), ND_QUERIES, "l_extendedprice"))
 
 
 @query("SELECT o_orderkey, '0x' || substr(sha256(o_orderkey || ',' || o_custkey || ',' || o_orderstatus), 1, 16) AS tuple_hash FROM orders")
@@ -178,10 +188,10 @@ def leaf_counts_orders(spark, sf):
     return o.groupBy(leaves.leaf_id().alias("leaf_id")).agg(F.count("*").alias("cnt"))
 
 
-@query(f"{BASE} SELECT * FROM summary")
+@query(f"{BASE} {SUMMARY_OUT}")
 def leaf_summary_full(spark, sf):
     ev = events(spark, sf)
-    return summary.summarise(ev, event_leaves(ev), "value")
+    return r4(summary.summarise(ev, event_leaves(ev), "value"), "sum")
 
 
 @query(f"WITH {EV}, {cuts_sql()}, seen AS (SELECT * FROM ev WHERE substr(sha256('c|' || event_id::VARCHAR), 1, 8) < '{scalars.below(0.2)}'), f AS (SELECT (SELECT count(*) FROM ev)::DOUBLE / (SELECT count(*) FROM seen) AS f) SELECT leaf_id, round(count(*) * any_value(f), 4) AS cnt, round({SUM.format('value')} * any_value(f), 4) AS sum, min(value) AS min, max(value) AS max FROM seen JOIN leaves ON x >= lo_x AND x < hi_x, f GROUP BY leaf_id")
@@ -191,16 +201,16 @@ def leaf_summary_scaled(spark, sf):
     return r4(summary.scale(summary.summarise(seen, event_leaves(ev), "value"), ev.count(), seen.count()), "cnt", "sum")
 
 
-@query(f"SELECT count(*) AS cnt, {SUM.format('value')} AS sum, min(value) AS min, max(value) AS max FROM events")
+@query(f"SELECT count(*) AS cnt, round({SUM.format('value')}, 2) AS sum, min(value) AS min, max(value) AS max FROM events")
 def leaf_totals(spark, sf):
-    return summary.totals(leaf_summary_full(spark, sf))
+    return summary.totals(leaf_summary_full(spark, sf)).withColumn("sum", F.round("sum", 2))
 
 
-@query(f"{BASE} SELECT l.leaf_id, lo_x, hi_x, coalesce(cnt, 0) AS cnt, coalesce(sum, 0) AS sum, coalesce((SELECT count(*) FROM sample s WHERE s.leaf_id = l.leaf_id), 0) AS sampled FROM leaves l LEFT JOIN summary USING (leaf_id)")
+@query(f"{BASE} SELECT l.leaf_id, lo_x, hi_x, coalesce(cnt, 0) AS cnt, round(coalesce(sum, 0), 4) AS sum, coalesce((SELECT count(*) FROM sample s WHERE s.leaf_id = l.leaf_id), 0) AS sampled FROM leaves l LEFT JOIN summary USING (leaf_id)")
 def strata_report(spark, sf):
     ev = events(spark, sf)
     leaves = event_leaves(ev)
-    return summary.report(leaves.table(spark), summary.summarise(ev, leaves, "value"), _sample(ev, leaves))
+    return r4(summary.report(leaves.table(spark), summary.summarise(ev, leaves, "value"), _sample(ev, leaves)), "sum")
 
 
 def _sample(ev: DataFrame, leaves: Leaves) -> DataFrame:
@@ -219,18 +229,18 @@ def topk_extremes(spark, sf):
     return summary.extremes(ev, event_leaves(ev), "value", "event_id")
 
 
-@query(f"{BASE} SELECT * FROM summary")
+@query(f"{BASE} {SUMMARY_OUT}")
 def summary_merge(spark, sf):
     ev = events(spark, sf)
     leaves = event_leaves(ev)
-    return summary.merge(*(summary.summarise(ev.filter(F.col("event_id") % 2 == i), leaves, "value") for i in (0, 1)))
+    return r4(summary.merge(*(summary.summarise(ev.filter(F.col("event_id") % 2 == i), leaves, "value") for i in (0, 1))), "sum")
 
 
-@query(f"WITH {EV}, {cuts_sql()} SELECT leaf_id, count(*) FILTER (WHERE event_id % 3 <> 0) AS cnt, coalesce(CAST(sum(CAST(value AS DECIMAL(18,2))) FILTER (WHERE event_id % 3 <> 0) AS DOUBLE), 0) AS sum FROM ev JOIN leaves ON x >= lo_x AND x < hi_x GROUP BY leaf_id")
+@query(f"WITH {EV}, {cuts_sql()} SELECT leaf_id, count(*) FILTER (WHERE event_id % 3 <> 0) AS cnt, round(coalesce(sum(value) FILTER (WHERE event_id % 3 <> 0), 0), 4) AS sum FROM ev JOIN leaves ON x >= lo_x AND x < hi_x GROUP BY leaf_id")
 def summary_retract(spark, sf):
     ev = events(spark, sf)
     leaves = event_leaves(ev)
-    return summary.retract(summary.summarise(ev, leaves, "value"), summary.summarise(ev.filter("event_id % 3 = 0"), leaves, "value"))
+    return r4(summary.retract(summary.summarise(ev, leaves, "value"), summary.summarise(ev.filter("event_id % 3 = 0"), leaves, "value")), "sum")
 
 
 @query(f"WITH {EV}, {cuts_sql()}, {queries_sql(QUERIES, ('x',))} SELECT qid, leaf_id, (q.lo_x <= l.lo_x AND l.hi_x <= q.hi_x) AS covered FROM q JOIN leaves l ON greatest(q.lo_x, l.lo_x) < least(q.hi_x, l.hi_x)")
@@ -244,7 +254,7 @@ def classify_leaves_1d(spark, sf):
 def _hybrid(spark, sf, **how) -> DataFrame:
     ev = events(spark, sf)
     leaves = event_leaves(ev)
-    found = estimate.hybrid(QUERIES, leaves.table(spark), summary.summarise(ev, leaves, "value"), _sample(ev, leaves), "value", ["x"], **how)
+    found = estimate.hybrid(QUERIES, leaves, summary.summarise(ev, leaves, "value"), _sample(ev, leaves), "value", **how)
     return r4(found, "cnt", "sum", "avg")
 
 
@@ -271,14 +281,14 @@ def hybrid_budget_cap(spark, sf):
 UNIFORM = f"smp AS (SELECT * FROM ev WHERE substr(sha256('s|' || event_id::VARCHAR), 1, 8) < '{scalars.below(RATE)}'), f AS (SELECT (SELECT count(*) FROM ev)::DOUBLE / (SELECT count(*) FROM smp) AS f)"
 
 
-@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, {UNIFORM}, a AS (SELECT qid, count(x) * any_value(f) AS cnt, coalesce({SUM.format('value')}, 0) * any_value(f) AS sum, min(value) AS min, max(value) AS max FROM q LEFT JOIN smp ON x >= lo_x AND x < hi_x, f GROUP BY qid) SELECT qid, round(cnt, 4) AS cnt, round(sum, 4) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 4) AS avg, min, max FROM a")
+@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, {UNIFORM}, a AS (SELECT qid, count(x) * any_value(f) AS cnt, coalesce({SUM.format('value')}, 0) * any_value(f) AS sum, min(value) AS min, max(value) AS max FROM q LEFT JOIN smp ON x >= lo_x AND x < hi_x, f GROUP BY qid) SELECT qid, round(cnt, 4) AS cnt, round(sum, 4) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 8) AS avg, min, max FROM a")
 def uniform_estimate(spark, sf):
     ev = events(spark, sf)
     s = sampling.hash_sample(ev, RATE, "event_id")
     return r4(estimate.from_sample(s, QUERIES, "value", ev.count(), s.count()), "cnt", "sum", "avg")
 
 
-@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, smp AS (SELECT * FROM ev ORDER BY event_id LIMIT 1000), f AS (SELECT (SELECT count(*) FROM ev)::DOUBLE / (SELECT count(*) FROM smp) AS f), a AS (SELECT qid, count(x) * any_value(f) AS cnt, coalesce({SUM.format('value')}, 0) * any_value(f) AS sum, min(value) AS min, max(value) AS max FROM q LEFT JOIN smp ON x >= lo_x AND x < hi_x, f GROUP BY qid) SELECT qid, round(cnt, 4) AS cnt, round(sum, 4) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 4) AS avg, min, max FROM a")
+@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, smp AS (SELECT * FROM ev ORDER BY event_id LIMIT 1000), f AS (SELECT (SELECT count(*) FROM ev)::DOUBLE / (SELECT count(*) FROM smp) AS f), a AS (SELECT qid, count(x) * any_value(f) AS cnt, coalesce({SUM.format('value')}, 0) * any_value(f) AS sum, min(value) AS min, max(value) AS max FROM q LEFT JOIN smp ON x >= lo_x AND x < hi_x, f GROUP BY qid) SELECT qid, round(cnt, 4) AS cnt, round(sum, 4) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 8) AS avg, min, max FROM a")
 def first_k_estimate(spark, sf):
     ev = events(spark, sf)
     return r4(estimate.from_sample(sampling.first_rows(ev, 1000, "event_id"), QUERIES, "value", ev.count(), 1000), "cnt", "sum", "avg")
@@ -311,12 +321,12 @@ def leaf_assign_nd(spark, sf):
     return li.groupBy(line_leaves(li).leaf_id().alias("leaf_id")).agg(F.count("*").alias("cnt"))
 
 
-@query(f"WITH {KD}, {ND_SUMMARY}, {ND_SAMPLE}, {hybrid_sql(ND_QUERIES, ND, 'l_extendedprice', 'leaves')} {ANSWER}")
+@query(f"WITH {KD}, {ND_SUMMARY}, {ND_SAMPLE}, {hybrid_sql(ND_QUERIES, ND, 'l_extendedprice', 'leaves')} {ANSWER.replace('round(sum, 4)', 'round(sum, 2)')}")
 def hybrid_nd(spark, sf):
     li = lineitem(spark, sf)
     leaves = line_leaves(li)
     sample = sampling.hash_sample(li, RATE, *ND_KEY).withColumn("leaf_id", leaves.leaf_id())
-    return r4(estimate.hybrid(ND_QUERIES, leaves.table(spark), summary.summarise(li, leaves, "l_extendedprice"), sample, "l_extendedprice", list(ND)), "cnt", "sum", "avg")
+    return r4(r2(estimate.hybrid(ND_QUERIES, leaves, summary.summarise(li, leaves, "l_extendedprice"), sample, "l_extendedprice")), "cnt")
 
 
 @query(f"WITH {KD}, b AS (SELECT leaf_id, lo_l_quantity AS lo, hi_l_quantity AS hi FROM leaves) SELECT a.leaf_id AS left_id, b.leaf_id AS right_id, greatest(a.lo, b.lo) < least(a.hi, b.hi) AS meets, a.lo <= b.lo AND b.hi <= a.hi AS holds, greatest(a.lo, b.lo) AS ilo, least(a.hi, b.hi) AS ihi, least(a.lo, b.lo) AS ulo, greatest(a.hi, b.hi) AS uhi FROM b a JOIN b b ON a.leaf_id < b.leaf_id")
@@ -347,7 +357,7 @@ def strata_evict(spark, sf):
 
 
 LOG = "SELECT *, 1 AS s FROM ev UNION ALL SELECT *, -1 AS s FROM ev WHERE event_id % 5 = 0"
-LOG_SUM = f"SELECT leaf_id, CAST(sum(s) AS BIGINT) AS cnt, CAST(sum(CAST(value * s AS DECIMAL(18,2))) AS DOUBLE) AS sum FROM log JOIN leaves ON x >= lo_x AND x < hi_x GROUP BY leaf_id"
+LOG_SUM = f"SELECT leaf_id, CAST(sum(s) AS BIGINT) AS cnt, round(sum(value * s), 4) AS sum FROM log JOIN leaves ON x >= lo_x AND x < hi_x GROUP BY leaf_id"
 
 
 def _log(ev: DataFrame) -> DataFrame:
@@ -357,7 +367,7 @@ def _log(ev: DataFrame) -> DataFrame:
 @query(f"WITH {EV}, {cuts_sql()}, log AS ({LOG}) {LOG_SUM}")
 def changelog_agg(spark, sf):
     ev = events(spark, sf)
-    return summary.signed(_log(ev), event_leaves(ev), "value")
+    return r4(summary.signed(_log(ev), event_leaves(ev), "value"), "sum")
 
 
 @query(f"WITH {EV}, {cuts_sql()}, log AS ({LOG}) {LOG_SUM}")
@@ -369,16 +379,16 @@ def changelog_stream(spark, sf):
     name = f"leaf_changes_{uuid.uuid4().hex}"
     run = changes.leaf_changes(changes.read_changes(spark, f"{base}/log", log.schema, 2), event_leaves(ev), "value", name, f"{base}/state")
     run.awaitTermination()
-    return spark.table(name)
+    return r4(spark.table(name), "sum")
 
 
-@query("SELECT event_id, CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS s1, CAST(sum(CAST(value AS DECIMAL(18,2)) * CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS s2 FROM (SELECT event_id, value, ts FROM events ORDER BY sha256('p|' || event_id::VARCHAR), event_id LIMIT 500) WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@query("SELECT event_id, round(sum(value) OVER w, 4) AS s1, round(sum(value * value) OVER w, 4) AS s2 FROM (SELECT event_id, value, ts FROM events ORDER BY sha256('p|' || event_id::VARCHAR), event_id LIMIT 500) WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def prefix_sums(spark, sf):
     from pyspark.sql.window import Window
 
     w = Window.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     s = sampling.bottom(table(spark, sf, "events"), 500, "event_id")  # a bounded sample: one task suffices
-    return s.select("event_id", F.sum(F.col("value").cast("decimal(18,2)")).over(w).cast("double").alias("s1"), F.sum(F.col("value").cast("decimal(18,2)") * F.col("value").cast("decimal(18,2)")).over(w).cast("double").alias("s2"))
+    return s.select("event_id", F.round(F.sum("value").over(w), 4).alias("s1"), F.round(F.sum(F.col("value") * F.col("value")).over(w), 4).alias("s2"))
 
 
 @query(None)
@@ -390,12 +400,16 @@ def variance_partition(spark, sf):
 FRACTIONS = tuple(i / 10 for i in range(1, 10))
 
 
-@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, r AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS n FROM ev), p AS (SELECT * FROM (VALUES {', '.join(f'({p!r}::DOUBLE)' for p in FRACTIONS)}) AS t(fraction)), a AS (SELECT p.fraction, q.qid, count(x) AS cnt, coalesce({SUM.format('value')}, 0) AS sum FROM p, q LEFT JOIN r ON x >= lo_x AND x < hi_x AND rn <= floor(n * p.fraction) GROUP BY 1, 2) SELECT fraction, qid, cnt, sum, CASE WHEN cnt > 0 THEN sum / cnt END AS avg FROM a")
+@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, r AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS n FROM ev), p AS (SELECT * FROM (VALUES {', '.join(f'({p!r}::DOUBLE)' for p in FRACTIONS)}) AS t(fraction)), a AS (SELECT p.fraction, q.qid, count(x) AS cnt, coalesce({SUM.format('value')}, 0) AS sum FROM p, q LEFT JOIN r ON x >= lo_x AND x < hi_x AND rn <= floor(n * p.fraction) GROUP BY 1, 2) SELECT fraction, qid, cnt, round(sum, 2) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 8) AS avg FROM a")
 def ground_truth_prefixes(spark, sf):
-    return workload.prefix_truth(events(spark, sf), QUERIES, "value", "event_id", FRACTIONS)
+    return r2(workload.prefix_truth(events(spark, sf), QUERIES, "value", "event_id", FRACTIONS))
 
 
-@query(None)
+@query(
+    f"WITH {EV}, pool AS (SELECT x, row_number() OVER (ORDER BY sha256('w|' || event_id::VARCHAR), event_id) - 1 AS r FROM ev), pairs AS (SELECT r // 2 AS p, floor(min(x)) AS lo, ceil(max(x)) AS hi FROM pool GROUP BY r // 2 HAVING count(*) = 2), "
+    "good AS (SELECT p, lo, hi FROM (SELECT p, lo, hi FROM pairs WHERE lo < hi ORDER BY p LIMIT 200) JOIN ev ON x >= lo AND x < hi GROUP BY p, lo, hi HAVING count(*) >= 20), "
+    "texts AS (SELECT (row_number() OVER (ORDER BY p) - 1)::INTEGER AS qid, 'value;x:[' || lo::BIGINT || '.0, ' || hi::BIGINT || '.0]' AS query FROM good) SELECT qid, query, substr(sha256(query), 1, 10) AS qhash FROM texts WHERE qid < 50"
+)
 def random_ranges(spark, sf):
     found = workload.random_ranges(events(spark, sf), ["x"], "value", 50, "event_id")
     return spark.createDataFrame([(i, str(q), q.hash) for i, q in enumerate(found)], "qid int, query string, qhash string")
@@ -407,7 +421,7 @@ ERRORS = f"{BASE}, {hybrid_sql(QUERIES, ('x',), 'value', 'leaves')}, {EXACT}, er
 def _errors(spark, sf) -> DataFrame:
     ev = events(spark, sf)
     leaves = event_leaves(ev)
-    found = estimate.hybrid(QUERIES, leaves.table(spark), summary.summarise(ev, leaves, "value"), _sample(ev, leaves), "value", ["x"])
+    found = estimate.hybrid(QUERIES, leaves, summary.summarise(ev, leaves, "value"), _sample(ev, leaves), "value")
     return accuracy.errors(estimate.exact(ev, QUERIES, "value"), found)
 
 
@@ -459,42 +473,45 @@ def csv_roundtrip(spark, sf):
     return tables.parse_lines(tables.to_lines(ev), ev.schema)
 
 
-@query("SELECT CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem WHERE l_discount >= 0.02 AND l_discount < 0.07 AND l_quantity >= 10 AND l_quantity < 40")
+@query("SELECT round(sum(l_extendedprice), 2) AS total FROM lineitem WHERE l_discount >= 0.02 AND l_discount < 0.07 AND l_quantity >= 10 AND l_quantity < 40")
 def query_to_sql(spark, sf):
     q = RangeQuery.parse("l_extendedprice;l_quantity:[10, 40];l_discount:[0.02, 0.07]")
-    lineitem(spark, sf).withColumn("l_extendedprice", F.col("l_extendedprice").cast("decimal(18,2)")).createOrReplaceTempView("leafcast_lineitem")
-    return spark.sql(q.sql("leafcast_lineitem")).select(F.col("total").cast("double").alias("total"))
+    lineitem(spark, sf).createOrReplaceTempView("leafcast_lineitem")
+    return spark.sql(q.sql("leafcast_lineitem")).select(F.round("total", 2).alias("total"))
 
 
-@query(None)
+EARLY = f"early AS (SELECT * FROM ev WHERE x < {DAY0 + 6 * 86400!r})"
+ERROR_RATES = ", ".join(f"round(quantile_cont(err_sum, {p}), 6) AS p{round(p * 100)}" for p in (0.25, 0.5, 0.95))
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM ({ERRORS.replace(BASE, f'WITH {EV}, {EARLY}, {cuts_sql(source)}, {SUMMARY}, {SAMPLE}')} SELECT {ERROR_RATES}, '{name}' AS tree FROM err)" for name, source in (("stale", "early"), ("rebuilt", "ev"))))
 def rebuild_vs_stale(spark, sf):
     ev = events(spark, sf)
     early = ev.filter(F.col("x") < DAY0 + 6 * 86400)
     out = None
     for name, leaves in (("stale", event_leaves(early)), ("rebuilt", event_leaves(ev))):
-        found = estimate.hybrid(QUERIES, leaves.table(spark), summary.summarise(ev, leaves, "value"), _sample(ev, leaves), "value", ["x"])
+        found = estimate.hybrid(QUERIES, leaves, summary.summarise(ev, leaves, "value"), _sample(ev, leaves), "value")
         part = accuracy.percentiles(accuracy.errors(estimate.exact(ev, QUERIES, "value"), found), "err_sum").withColumn("tree", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.select(*(F.round(c, 6).alias(c) for c in ("p25", "p50", "p95")), "tree")
 
 
-@query(f"WITH {EV}, {cuts_sql()}, placed AS (SELECT * FROM ev JOIN leaves ON x >= lo_x AND x < hi_x) SELECT leaf_id, count(*) AS cnt, {SUM.format('value')} AS sum, count(*) FILTER (WHERE event_id % 4 <> 0 AND substr(sha256('s|' || event_id::VARCHAR), 1, 8) < '{scalars.below(RATE)}') AS sampled FROM placed GROUP BY leaf_id")
+@query(f"WITH {EV}, {cuts_sql()}, placed AS (SELECT * FROM ev JOIN leaves ON x >= lo_x AND x < hi_x) SELECT leaf_id, count(*) AS cnt, round({SUM.format('value')}, 4) AS sum, count(*) FILTER (WHERE event_id % 4 <> 0 AND substr(sha256('s|' || event_id::VARCHAR), 1, 8) < '{scalars.below(RATE)}') AS sampled FROM placed GROUP BY leaf_id")
 def stats_only_update(spark, sf):
     ev = events(spark, sf)
     leaves = event_leaves(ev)
     early, late = ev.filter("event_id % 4 <> 0"), ev.filter("event_id % 4 = 0").withColumn("op", F.lit("I"))
     sums = summary.merge(summary.summarise(early, leaves, "value").select("leaf_id", "cnt", "sum"), summary.signed(late, leaves, "value"))
-    return sums.join(_sample(early, leaves).groupBy("leaf_id").agg(F.count("*").alias("sampled")), "leaf_id", "left").fillna(0, ["sampled"])
+    return r4(sums.join(_sample(early, leaves).groupBy("leaf_id").agg(F.count("*").alias("sampled")), "leaf_id", "left").fillna(0, ["sampled"]), "sum")
 
 
 INTERVALS = [(0, 499), (0, 63), (10, 10), (100, 300), (436, 499)]
-DECIMAL = "CAST(value AS DECIMAL(18,2))"
 
 
 @query(
-    f"WITH s AS (SELECT event_id, value, ts FROM events ORDER BY sha256('p|' || event_id::VARCHAR), event_id LIMIT 500), r AS (SELECT row_number() OVER w - 1 AS i, sum({DECIMAL}) OVER w AS s1, sum({DECIMAL} * {DECIMAL}) OVER w AS s2 FROM s WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), "
+    "WITH s AS (SELECT event_id, value, ts FROM events ORDER BY sha256('p|' || event_id::VARCHAR), event_id LIMIT 500), r AS (SELECT row_number() OVER w - 1 AS i, sum(value) OVER w AS s1, sum(value * value) OVER w AS s2 FROM s WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), "
     f"q AS (SELECT * FROM (VALUES {', '.join(map(str, INTERVALS))}) AS t(first, last)), f AS (SELECT (SELECT count(*) FROM events)::DOUBLE / (SELECT count(*) FROM s) AS f), "
-    "d AS (SELECT q.first, q.last, CAST(e.s1 - coalesce(b.s1, 0) AS DOUBLE) AS s1, CAST(e.s2 - coalesce(b.s2, 0) AS DOUBLE) AS s2 FROM q JOIN r e ON e.i = q.last LEFT JOIN r b ON b.i = q.first - 1) SELECT first, last, round(f * f * (s2 - s1 * s1 / (last - first + 1)), 2) AS variance FROM d, f"
+    "d AS (SELECT q.first, q.last, e.s1 - coalesce(b.s1, 0) AS s1, e.s2 - coalesce(b.s2, 0) AS s2 FROM q JOIN r e ON e.i = q.last LEFT JOIN r b ON b.i = q.first - 1) SELECT first, last, round(f * f * s2 - s1 * s1 / (last - first + 1), 2) AS variance FROM d, f"
 )
 def interval_variance(spark, sf):
     ev = table(spark, sf, "events")
@@ -509,9 +526,8 @@ BATCH = [RangeQuery("value", (("x", DAY0 + i * 40000.0, DAY0 + i * 40000.0 + 900
 def query_batch(spark, sf):
     ev = events(spark, sf)
     leaves = event_leaves(ev)
-    found = estimate.hybrid(BATCH, leaves.table(spark), summary.summarise(ev, leaves, "value"), _sample(ev, leaves), "value", ["x"])
-    # six places: at four, some of these averages lie on a half, where the order of additions decides
-    return found.withColumns({c: F.round(c, 6) for c in ("cnt", "sum", "avg")})
+    found = estimate.hybrid(BATCH, leaves, summary.summarise(ev, leaves, "value"), _sample(ev, leaves), "value")
+    return found.withColumns({"cnt": F.round("cnt", 6), "sum": F.round("sum", 6), "avg": F.round("avg", 8)})
 
 
 @query("SELECT event_id, value FROM events WHERE event_id % 10 = 0")
@@ -545,6 +561,117 @@ def predicate_id(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", scalars.predicate_id(text).alias("predicate_id"))
 
 
+FINE = [RangeQuery("fine", (("x", DAY0 + 3 * 86400, DAY0 + 27.5 * 86400),)), RangeQuery("fine", (("x", LOW, HIGH),))]
+
+
+@query(f"WITH {EV}, {queries_sql(FINE, ('x',))}, f AS (SELECT x, value * 0.000123 AS fine FROM ev) SELECT qid, count(x) AS cnt, round(sum(fine), 6) AS sum, round(avg(fine), 9) AS avg, round(min(fine), 9) AS min, round(max(fine), 9) AS max FROM q LEFT JOIN f ON x >= lo_x AND x < hi_x GROUP BY qid")
+def exact_sum_fine(spark, sf):
+    """Sums of values far below a cent."""
+    found = estimate.exact(events(spark, sf).withColumn("fine", F.col("value") * 0.000123), FINE, "fine")
+    return found.withColumns({"sum": F.round("sum", 6), **{c: F.round(c, 9) for c in ("avg", "min", "max")}})
+
+
+SMALL = SynopsisConfig(leaves=K, sample_rate=RATE, catch_up=1.0)
+
+
+def _synopsis(df: DataFrame) -> Synopsis:
+    return Synopsis.build(df.select("event_id", "x", "value"), ["x"], "value", ("event_id",), SMALL)
+
+
+def _changes(df: DataFrame, op: str) -> DataFrame:
+    return df.select("event_id", "x", "value", F.lit(op).alias("op"))
+
+
+BEFORE = "base AS (SELECT * FROM ev WHERE event_id % 4 <> 0)"
+NOW = "now AS (SELECT * FROM ev WHERE NOT (event_id % 4 <> 0 AND value > 200) AND NOT (event_id % 4 = 0 AND value < 1))"
+
+
+@query(f"WITH {EV}, {BEFORE}, {cuts_sql('base')}, {NOW} SELECT leaf_id, count(*)::DOUBLE AS cnt, round(sum(value), 4) AS sum, min(value) AS min, max(value) AS max FROM now JOIN leaves ON x >= lo_x AND x < hi_x GROUP BY leaf_id")
+def synopsis_extremes_after_changes(spark, sf):
+    """Inserts beyond the old extremes, deletes of all large old values, and a rescan of the leaves whose kept extremes have all gone."""
+    ev = events(spark, sf)
+    old, new = ev.filter("event_id % 4 <> 0"), ev.filter("event_id % 4 = 0 AND NOT value < 1")
+    syn = _synopsis(old).apply(_changes(new, "I")).apply(_changes(old.filter("value > 200"), "D"))
+    now = old.filter("NOT value > 200").unionByName(new)
+    return r4(syn.rescan(now.select("event_id", "x", "value")).summary(), "sum").select("leaf_id", "cnt", "sum", "min", "max")
+
+
+@query(f"{BASE} SELECT event_id, leaf_id FROM sample")
+def synopsis_sample_after_reinsert(spark, sf):
+    """Rows that go and come back are in the sample as before."""
+    ev = events(spark, sf)
+    some = ev.filter("event_id % 5 = 0")
+    return _synopsis(ev).apply(_changes(some, "D")).apply(_changes(some, "I")).rows_now().select("event_id", "leaf_id")
+
+
+@query(f"WITH {EV}, {cuts_sql()}, s AS (SELECT leaf_id, event_id, value FROM ev JOIN leaves ON x >= lo_x AND x < hi_x), gone AS (SELECT * FROM s WHERE substr(sha256('s|' || event_id::VARCHAR), 1, 8) < '{scalars.below(RATE)}' AND substr(sha256('e0|' || leaf_id::VARCHAR), 1, 8) < '{scalars.below(0.5)}' AND substr(sha256('h0|' || event_id::VARCHAR), 1, 8) < '{scalars.below(0.5)}') SELECT leaf_id, (count(*) FILTER (WHERE event_id NOT IN (SELECT event_id FROM gone)))::DOUBLE AS cnt, round(sum(value) FILTER (WHERE event_id NOT IN (SELECT event_id FROM gone)), 4) AS sum FROM s GROUP BY leaf_id")
+def synopsis_evict(spark, sf):
+    """Evicted sample rows take their part of the statistics with them."""
+    return r4(_synopsis(events(spark, sf)).evict(0.5).counts().select("leaf_id", "cnt", "sum"), "sum")
+
+
+@query("SELECT 0 AS qid, count(*)::DOUBLE AS cnt, round(sum(value), 4) AS sum, round(avg(value), 8) AS avg, min(value) AS min, max(value) AS max FROM events WHERE event_id % 10 > 1")
+def null_attributes(spark, sf):
+    """Rows whose attribute is null or NaN are in no range of it."""
+    odd = F.when(F.col("event_id") % 10 == 0, F.lit(None)).when(F.col("event_id") % 10 == 1, F.lit(float("nan"))).otherwise(F.col("x"))
+    return r4(_synopsis(events(spark, sf).withColumn("x", odd)).query([RangeQuery("value", (("x", LOW, HIGH),))]), "sum", "avg")
+
+
+@query(f"{BASE}, n AS (SELECT count(*) AS n FROM leaves), levels AS (SELECT unnest(range(0, (1 + ceil(log2(n)))::BIGINT)) AS level FROM n) SELECT level::INTEGER AS level, (leaf_id // (2 ** level)::BIGINT)::INTEGER AS node, sum(cnt)::BIGINT AS cnt, round(sum(sum), 4) AS sum, min(min) AS min, max(max) AS max FROM summary, levels GROUP BY 1, 2")
+def merge_tree(spark, sf):
+    """Summaries of all nodes above the leaves, by pairs."""
+    ev = events(spark, sf)
+    leaves = event_leaves(ev)
+    return r4(summary.inner_summaries(summary.summarise(ev, leaves, "value"), leaves.inner(spark)), "sum")
+
+
+@query(f"WITH {BASE[5:]} SELECT event_id, leaf_id, CASE WHEN x < lo_x THEN -1 WHEN x >= hi_x THEN 1 ELSE 0 END AS side FROM ev, leaves WHERE leaf_id = 3")
+def locate_values(spark, sf):
+    ev = events(spark, sf)
+    leaves = event_leaves(ev)
+    lo, hi = leaves.boxes[3][0]
+    return ev.select("event_id", F.lit(3).alias("leaf_id"), geometry.locate(F.col("x"), F.lit(lo), F.lit(hi)).alias("side"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, abs(l_discount - l_tax) <= 0.0001 AS near FROM lineitem")
+def approx_equal(spark, sf):
+    return lineitem(spark, sf).select(*ND_KEY, scalars.close(F.col("l_discount"), F.col("l_tax")).alias("near"))
+
+
+@query("SELECT count(*) AS rows FROM events")
+def topic_size(spark, sf):
+    return tables.rows_in(table(spark, sf, "events"))
+
+
+SENT = [RangeQuery("value", (("x", LOW, HIGH),)), RangeQuery("value", ())]
+
+
+@query(f"WITH {EV}, {queries_sql(SENT, ('x',))} SELECT qid, count(*)::DOUBLE AS cnt, round(sum(value), 2) AS sum FROM q JOIN ev ON x >= lo_x AND x < hi_x WHERE NOT (event_id % 3 <> 0 AND event_id % 7 = 0) GROUP BY qid")
+def solver_stream(spark, sf):
+    """A synopsis of two thirds of the rows; the rest comes as a stream of lines, with deletions of a seventh of the old ones and then the queries."""
+    ev = events(spark, sf).select("event_id", "x", "value")
+    old = ev.filter("event_id % 3 <> 0")
+    root = new_path(spark, "topics")
+    topics.create(spark, f"{root}/in")
+    topics.send(tables.to_lines(ev.filter("event_id % 3 = 0")), f"{root}/in", "data")
+    topics.send(tables.to_lines(old.filter("event_id % 7 = 0")), f"{root}/in", "deletion")
+    consumer = solver.SynopsisSolver("synopsis", f"{root}/results", synopsis=_synopsis(old))
+    for lines in (None, [*map(str, SENT), "exit"]):
+        if lines:
+            topics.send(spark.createDataFrame([(x,) for x in lines], "value string"), f"{root}/in", "query")
+        solver.run(topics.stream(spark, f"{root}/in"), [consumer], ev.schema, f"{root}/state").awaitTermination()
+    found = tables.read_results(spark, f"{root}/results/synopsis", RESULT)
+    return found.select("qid", "cnt", F.round("sum", 2).alias("sum"))
+
+
+RESULT = "qid int, query string, qhash string, cnt double, sum double, avg double, min double, max double, time double"
+
+
+@query(f"SELECT name, file FROM (VALUES {', '.join(f'({k!r}, {w.file_name(2000)!r})' for k, w in sorted(config.WORKLOADS.items()))}) t(name, file)")
+def workload_names(spark, sf):
+    return spark.createDataFrame([(k, w.file_name(2000)) for k, w in config.WORKLOADS.items()], "name string, file string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

@@ -33,3 +33,14 @@ def profile(df: DataFrame, *columns: str) -> DataFrame:
         named = {"cnt": F.count(c), "mean": F.avg(F.col(c)), "std": F.stddev_samp(c), "min": F.min(c).cast("double"), "q": quartiles, "max": F.max(c).cast("double")}
         out.append(F.struct(F.lit(c).alias("column"), *(v.alias(k) for k, v in named.items())))
     return df.agg(F.array(*out).alias("a")).select(F.inline("a")).select("column", "cnt", "mean", "std", "min", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))), "max")
+
+
+def assert_close(truth: DataFrame, found: DataFrame, on: str = "qid", columns: tuple[str, ...] = ("cnt", "sum", "avg", "min", "max"), within: float = 1e-4) -> None:
+    """AssertionError unless both have the same rows and their values differ by `within` at most, or are null in both."""
+    t, f = truth.alias("t"), found.alias("f")
+    same = F.lit(True)
+    for c in columns:
+        a, b = F.col(f"t.{c}"), F.col(f"f.{c}")
+        same = same & (F.coalesce(F.abs(a - b) <= within, F.lit(False)) | (a.isNull() & b.isNull()))
+    off = t.join(f, F.col(f"t.{on}") == F.col(f"f.{on}"), "full").filter(F.col(f"t.{on}").isNull() | F.col(f"f.{on}").isNull() | ~same).limit(5).collect()
+    assert not off, f"results differ: {off}"

@@ -12,25 +12,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import arithmetic, salted
+from ..functions.scalars import arithmetic, salted, total
 from ..plans.query import RangeQuery
 from .estimate import by_query
 from .sampling import bottom
 
 
 def random_ranges(df: DataFrame, attrs: list[str], target: str, n: int, key: str, least_rows: int = 20, salt: str = "w") -> list[RangeQuery]:
-    """n queries whose edges are those of two random rows, in whole numbers; ranges that are empty or hold fewer than `least_rows` rows are left out."""
-    pool = bottom(df, 6 * n, key, salt=salt).select(*attrs).collect()
-    out: list[RangeQuery] = []
-    candidates = []
-    for a, b in zip(pool[::2], pool[1::2], strict=False):
-        box = tuple((x, float(math.floor(min(a[x], b[x]))), float(math.ceil(max(a[x], b[x])))) for x in sorted(attrs))
-        if all(lo < hi for _, lo, hi in box):
-            candidates.append(RangeQuery(target, box))
-    if candidates:
-        counts = {r["qid"]: r["cnt"] for r in by_query(df.withColumn("__one", F.lit(1)), candidates, "__one").select("qid", "cnt").collect()}
-        out = [q for i, q in enumerate(candidates) if counts.get(i, 0) >= least_rows]
-    return out[:n]
+    """n queries whose edges are those of two random rows, in whole numbers; ranges that are empty or hold fewer than `least_rows` rows are left out, and further
+    pairs take their place, as long as the table has any."""
+    size, out = 6 * n, []
+    while True:
+        pool = bottom(df, size, key, salt=salt).select(*attrs).collect()
+        candidates = []
+        for a, b in zip(pool[::2], pool[1::2], strict=False):
+            if any(v is None for v in (*a, *b)):
+                continue
+            box = tuple((x, float(math.floor(min(a[x], b[x]))), float(math.ceil(max(a[x], b[x])))) for x in sorted(attrs))
+            if all(lo < hi for _, lo, hi in box):
+                candidates.append(RangeQuery(target, box))
+        if candidates:
+            counts = {r["qid"]: r["cnt"] for r in by_query(df.withColumn("__one", F.lit(1)), candidates, "__one").select("qid", "cnt").collect()}
+            out = [q for i, q in enumerate(candidates) if counts.get(i, 0) >= least_rows]
+        if len(out) >= n or len(pool) < size:
+            return out[:n]
+        size *= 4
 
 
 def values_at(df: DataFrame, order: str, ranks: list[int], buckets: int = 255) -> dict[int, object]:
@@ -70,7 +76,7 @@ def prefix_truth(df: DataFrame, queries: list[RangeQuery], target: str, order: s
     upto = F.array(*(F.struct(F.lit(p).alias("fraction"), F.lit(j).alias("__j")) for j, (_, p) in enumerate(ends)))
     wanted = spark.range(len(queries)).select(F.col("id").cast("int").alias("qid"), F.inline(upto))
     found = wanted.join(parts, (F.col("qid") == F.col("__q")) & (F.col("__stretch") <= F.col("__j")), "left").groupBy("fraction", "qid")
-    found = found.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"), F.coalesce(F.sum("sum").cast("double"), F.lit(0.0)).alias("sum"))
+    found = found.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"), F.coalesce(total(F.col("sum")), F.lit(0.0)).alias("sum"))
     return found.withColumn("avg", F.when(F.col("cnt") > 0, F.col("sum") / F.col("cnt")))
 
 

@@ -21,6 +21,15 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+#: Tables written by this process and not dropped yet, in the order they were written.
+_written: dict[str, None] = {}
+
+
+def written() -> list[str]:
+    """What `stored` has written and nothing has dropped: a caller that has put a result elsewhere may drop what came up on the way."""
+    return list(_written)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/leafcast/{name}-{uuid.uuid4().hex}"
 
@@ -30,6 +39,7 @@ def stored(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
     filters on it pass over row groups."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    _written[path] = None
     (df.sortWithinPartitions(*by) if by else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -38,5 +48,6 @@ def drop(spark: SparkSession, *paths: str) -> None:
     """Remove written tables that nothing reads any more."""
     jvm = spark._jvm
     for p in paths:
+        _written.pop(p, None)
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

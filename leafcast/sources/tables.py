@@ -26,7 +26,18 @@ def to_lines(df: DataFrame, separator: str = ",") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, data: Dataset, header: bool = True) -> DataFrame:
-    return spark.read.schema(data.schema).option("header", header).csv(path)
+    """The file's columns as they are."""
+    reader = spark.read.option("header", header)
+    return (reader.schema(data.schema) if data.schema else reader.option("inferSchema", True)).csv(path)
+
+
+def load(spark: SparkSession, path: str, data: Dataset) -> DataFrame:
+    """A data set as its users take it: rows that miss a value dropped where that is so, derived columns added, the wanted ones kept."""
+    df = read_csv(spark, path, data)
+    df = df.na.drop("any") if data.complete else df
+    if data.derived:
+        df = df.withColumns({c: F.expr(e) for c, e in data.derived.items()})
+    return df.select(*data.wanted) if data.wanted else df
 
 
 def complete_rows(df: DataFrame, *columns: str) -> DataFrame:
@@ -44,6 +55,7 @@ def rows_in(df: DataFrame) -> DataFrame:
 
 
 def write_results(df: DataFrame, path: str) -> None:
+    """Answers of a workload: its columns as they are, as CSV with a header; what the folder had is replaced."""
     df.write.mode("overwrite").option("header", True).csv(path)
 
 

@@ -1,9 +1,7 @@
-"""Change logs as streams: signed sums by leaf, or any action on each micro-batch."""
+"""Change logs as streams, and signed sums by leaf over them."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -21,27 +19,19 @@ def read_changes(spark: SparkSession, folder: str, schema: T.StructType, files_a
 def kafka_changes(spark: SparkSession, servers: str, topics: list[str], start: str = "latest") -> DataFrame:
     """Lines of several topics with the topic as op; needs Spark's Kafka package on the class path."""
     got = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", ",".join(topics)).option("startingOffsets", start).load()
-    return got.selectExpr("topic AS op", "CAST(value AS STRING) AS value")
+    return messages(got)
+
+
+def messages(got: DataFrame) -> DataFrame:
+    """Kafka's rows as (topic, value), the columns that solvers take."""
+    return got.selectExpr("topic", "CAST(value AS STRING) AS value")
 
 
 def kafka_sink(lines: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
+    """Messages of a stream (column `value`) to a topic."""
     return lines.selectExpr("value").writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
 def leaf_changes(changes: DataFrame, leaves: Leaves, target: str, name: str, checkpoint: str) -> StreamingQuery:
     """Signed count and sum of each leaf, as the in-memory table `name` after each batch. State: one row for each leaf."""
     return summary.signed(changes, leaves, target).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def each_batch(changes: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> StreamingQuery:
-    """Every micro-batch to the handlers by op (`*`: all of it). A batch that is rerun has the same number, so that handlers can write it once."""
-
-    def dispatch(batch: DataFrame, epoch: int) -> None:
-        kept = batch.persist()
-        try:
-            for op, handle in handlers.items():
-                handle(kept if op == "*" else kept.filter(kept["op"] == op), epoch)
-        finally:
-            kept.unpersist()
-
-    return changes.writeStream.foreachBatch(dispatch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

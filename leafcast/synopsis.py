@@ -1,109 +1,203 @@
-"""A synopsis of one table: leaves, their summaries and a sample, kept as DataFrames, answered from, changed, rebuilt, saved and loaded."""
+"""A synopsis of one table: leaves, their summaries and a sample, kept as written tables, answered from, changed, rebuilt, saved and loaded."""
 
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, replace
+from concurrent.futures import Future, ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import SynopsisConfig
 from .operators import estimate, partition, sampling, summary
 from .operators.partition import Leaves
-from .plans.query import RangeQuery, query_table
+from .plans.query import RangeQuery
+from .shared import stored
+
+#: Sample rows of changes are put into the sample's own table once they are more than this share of it.
+COMPACT_SHARE = 0.25
+
+
+class NotReady(RuntimeError):
+    """The catch-up has not been done yet."""
 
 
 @dataclass(frozen=True)
 class Synopsis:
-    """`base` is the catch-up summary, `delta` the signed change since, `sample` the rows kept; epoch counts the changes that are in. `ends` are the extremes of each leaf
-    in the whole table as it was built, whatever the catch-up, and `fresh` the values inserted since."""
+    """All tables are written in the shared folder, so a query reads them alone, never the table that they are of.
+
+    `base` has the catch-up counts and sums of each leaf (null before the catch-up), `delta` the signed change since, `sample` the rows kept (leaf_id, key, attributes and
+    target, in the order of leaves), `log` signed rows that change the sample, `ends` the extremes (see `summary.ends`). Rows that miss an attribute are in no leaf: a
+    synopsis answers for rows that have all of them. `epoch` counts the changes that are in, `batch` is the last numbered one.
+    """
 
     leaves: Leaves
-    base: DataFrame
-    delta: DataFrame | None
-    sample: DataFrame
     target: str
     key: tuple[str, ...]
     config: SynopsisConfig
+    sample: DataFrame
+    ends: DataFrame
+    base: DataFrame | None = None
+    delta: DataFrame | None = None
+    log: DataFrame | None = None
     epoch: int = 0
-    gone: DataFrame | None = None
-    ends: DataFrame | None = None
-    fresh: DataFrame | None = None
+    batch: int = -1
+    _kept: dict = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
-    def build(cls, df: DataFrame, attrs: list[str], target: str, key: tuple[str, ...], config: SynopsisConfig = SynopsisConfig(), partitioner: str = "equal_depth") -> Synopsis:
-        """Partition on a bounded sample, then one pass over the table for the summaries; the sample is a filter on the key. catch_up below 1 summarises
-        that share of the rows and scales it."""
+    def build(cls, df: DataFrame, attrs: list[str], target: str, key: tuple[str, ...], config: SynopsisConfig = SynopsisConfig(), partitioner: str = "equal_depth", ready: bool = True) -> Synopsis:
+        """Partition on a bounded sample, then one pass over the table for each of summaries, sample and extremes; the sample is a filter on the key. catch_up below 1 summarises
+        that share of the rows and scales it. ready=False leaves the catch-up for later (`catch_up`); changes may come meanwhile."""
+        wanted = list(dict.fromkeys([*key, *attrs, target]))
+        df = df.select(*wanted)
         chosen = sampling.bottom(df, config.partition_sample, *key).select(*dict.fromkeys([*attrs, target]))
         if len(attrs) > 1:
-            leaves = partition.kd(chosen, attrs, config.leaves, target=target)
+            leaves = partition.kd(chosen, attrs, config.leaves, target=target, population=df.count())
         elif partitioner == "variance":
             leaves = partition.variance(chosen, attrs[0], target, df.count(), config.leaves)
         else:
             leaves = partition.equal_depth(chosen, attrs[0], config.leaves)
-        if config.catch_up >= 1:
-            base = summary.summarise(df, leaves, target)
+        sample = leaves.place(sampling.hash_sample(df, config.sample_rate * config.oversample, *key)).select("leaf_id", *wanted)
+        # ranges of leaves make few files, each in the order of leaves
+        sample, _ = stored(sample.repartitionByRange("leaf_id"), "sample", "leaf_id")
+        ends, _ = stored(summary.ends(df, leaves, target, key, config.extremes).coalesce(1), "ends")
+        out = cls(leaves, target, key, config, sample, ends)
+        return out.catch_up(df) if ready else out
+
+    def catch_up(self, df: DataFrame) -> Synopsis:
+        """Summaries of the table as it was when the synopsis was built: the caller passes that snapshot, and what came after it as changes, so no row is counted twice."""
+        if self.config.catch_up >= 1:
+            base = summary.summarise(df, self.leaves, self.target)
         else:
-            seen = sampling.hash_sample(df, config.catch_up, *key, salt="c")
-            base = summary.scale(summary.summarise(seen, leaves, target), df.count(), seen.count())
-        sample = sampling.hash_sample(df, config.sample_rate * config.oversample, *key).withColumn("leaf_id", leaves.leaf_id())
-        return cls(leaves, base, None, sample, target, key, config, ends=summary.ends(df, leaves, target, key, config.extremes))
-
-    def apply(self, changes: DataFrame) -> Synopsis:
-        """A log of rows with op I or D: counts and sums by sign, sample rows and extremes by key. Signs commute, so a delete may come before its insert."""
+            seen = sampling.hash_sample(df, self.config.catch_up, *self.key, salt="c")
+            base = summary.scale(summary.summarise(seen, self.leaves, self.target), df.count(), seen.count())
+        base, _ = stored(base.select("leaf_id", F.col("cnt").cast("double").alias("cnt"), "sum").coalesce(1), "base")
+        return replace(self, base=base, _kept={})
+
+    @property
+    def ready(self) -> bool:
+        return self.base is not None
+
+    def apply(self, changes: DataFrame, batch: int | None = None) -> Synopsis:
+        """A log of whole rows with op I or D (a delete carries its row's values): counts and sums by sign, sample rows and extremes by row. Signs commute, so a delete may come
+        before its insert, and a row may go and come back. A numbered batch that is in already changes nothing, so that a stream may send it again."""
+        if batch is not None and batch <= self.batch:
+            return self
         delta = summary.signed(changes, self.leaves, self.target)
-        new = sampling.hash_sample(changes.filter("op = 'I'"), self.config.sample_rate * self.config.oversample, *self.key).withColumn("leaf_id", self.leaves.leaf_id())
-        gone = changes.filter("op = 'D'").select(*self.key)
-        gone = gone if self.gone is None else self.gone.unionByName(gone)
-        kept = self.sample.unionByName(new.select(*self.sample.columns)).join(gone, list(self.key), "left_anti")
-        fresh = summary.values(changes.filter("op = 'I'"), self.leaves, self.target, self.key)
-        fresh = fresh if self.fresh is None else self.fresh.unionByName(fresh)
-        return replace(self, delta=delta if self.delta is None else summary.merge(self.delta, delta), sample=kept, gone=gone, fresh=fresh, epoch=self.epoch + 1)
+        delta, _ = stored((delta if self.delta is None else summary.merge(self.delta, delta)).coalesce(1), "delta")
+        sampled = sampling.hash_sample(changes, self.config.sample_rate * self.config.oversample, *self.key)
+        log = self.leaves.place(sampled).withColumn("times", summary.sign().cast("long")).select(*self.sample.columns, "times")
+        log, _ = stored(log.coalesce(8), "log", "leaf_id")
+        ends, _ = stored(summary.ends_after(self.ends, changes, self.leaves, self.target, self.key, self.config.extremes).coalesce(1), "ends")
+        out = replace(self, delta=delta, log=log if self.log is None else self.log.unionByName(log), ends=ends, epoch=self.epoch + 1, batch=self.batch if batch is None else batch, _kept={})
+        return out.compact() if out.log.count() > COMPACT_SHARE * out.sample.count() else out
+
+    def rows_now(self) -> DataFrame:
+        """The sample with the log's inserts and without its deletes: of equal rows, as many as there are left."""
+        if self.log is None:
+            return self.sample
+        both = self.sample.withColumn("times", F.lit(1).cast("long")).unionByName(self.log)
+        net = both.groupBy(*self.sample.columns).agg(F.sum("times").alias("times")).filter("times > 0")
+        return net.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*self.sample.columns)
+
+    def compact(self) -> Synopsis:
+        """The sample as one table again. Deletes that wait for their insert stay in the log."""
+        if self.log is None:
+            return self
+        both = self.sample.withColumn("times", F.lit(1).cast("long")).unionByName(self.log)
+        waiting, _ = stored(both.groupBy(*self.sample.columns).agg(F.sum("times").alias("times")).filter("times < 0").coalesce(1), "log")
+        sample, _ = stored(self.rows_now().repartitionByRange("leaf_id"), "sample", "leaf_id")
+        return replace(self, sample=sample, log=None if waiting.isEmpty() else waiting, _kept={})
 
     def counts(self) -> DataFrame:
+        if self.base is None:
+            raise NotReady("the synopsis answers queries after its catch-up")
         return self.base if self.delta is None else summary.merge(self.base, self.delta)
 
     def summary(self) -> DataFrame:
-        """Counts and sums with the extremes of the rows there are now; these are null once the kept ones of a leaf are all deleted."""
-        if self.delta is None and self.config.catch_up >= 1:
-            return self.base
-        counts = self.counts().select("leaf_id", "cnt", "sum")
-        if self.ends is None:  # saved before extremes were kept
-            return counts.withColumns({c: F.lit(None).cast("double") for c in ("min", "max")})
-        return counts.join(self.ends_now()[0], "leaf_id", "left")
-
-    def ends_now(self) -> tuple[DataFrame, DataFrame]:
-        return summary.ends_now(self.ends, self.fresh, self.gone, self.config.extremes, self.key)
+        """Counts and sums with the extremes of the rows there are now; these are null once the kept ones of a leaf are all deleted (`rescan` finds them again)."""
+        return self.counts().join(F.broadcast(summary.ends_now(self.ends)), "leaf_id", "left")
+
+    def rescan(self, df: DataFrame) -> Synopsis:
+        """Extremes from the table as it is now, for the leaves whose kept ones are all deleted; other leaves stay. One scan, of those leaves' rows alone."""
+        lost = [r[0] for r in summary.ends_now(self.ends).filter("not (min_known and max_known)").select("leaf_id").collect()]
+        if not lost:
+            return self
+        there = self.leaves.place(df).filter(F.col("leaf_id").isin(lost)).drop("leaf_id")
+        ends, _ = stored(self.ends.filter(~F.col("leaf_id").isin(lost)).unionByName(summary.ends(there, self.leaves, self.target, self.key, self.config.extremes)).coalesce(1), "ends")
+        return replace(self, ends=ends, _kept={})
+
+    def evict(self, p: float, round_: int = 0) -> Synopsis:
+        """Each leaf, with probability p, loses the half of its sample rows of lesser hash, and their part of its counts and sums."""
+        kept = sampling.evict(self.rows_now(), p, *self.key, round_=round_)
+        gone = sampling.evicted(self.rows_now(), p, *self.key, round_=round_).withColumn("op", F.lit("D"))
+        delta = summary.signed(gone, self.leaves, self.target)
+        delta, _ = stored((delta if self.delta is None else summary.merge(self.delta, delta)).coalesce(1), "delta")
+        sample, _ = stored(kept.repartitionByRange("leaf_id"), "sample", "leaf_id")
+        return replace(self, delta=delta, sample=sample, log=None, epoch=self.epoch + 1, _kept={})
+
+    def preload(self) -> Synopsis:
+        """Keep the sample in the executors' memory (on their disks where it doesn't fit), and the leaves' numbers in the driver's."""
+        self._now().persist(StorageLevel.MEMORY_AND_DISK).count()
+        self._leaf()
+        return self
+
+    def _now(self) -> DataFrame:
+        if "rows" not in self._kept:
+            self._kept["rows"] = self.rows_now()
+        return self._kept["rows"]
+
+    def _leaf(self) -> dict[str, np.ndarray]:
+        if "leaf" not in self._kept:
+            self._kept["leaf"] = estimate.leaf_arrays(self.summary(), len(self.leaves.boxes))
+            sizes = {r["leaf_id"]: r["n"] for r in self._now().groupBy("leaf_id").agg(F.count("*").alias("n")).collect()}
+            self._kept["sizes"] = np.array([sizes.get(i, 0) for i in range(len(self.leaves.boxes))], float)
+        return self._kept["leaf"]
 
     def query(self, queries: list[RangeQuery], pooled: bool = False, budget: int | None = None) -> DataFrame:
-        spark, attrs, table = self.base.sparkSession, list(self.leaves.attrs), self.leaves.table(self.base.sparkSession)
-        found = estimate.hybrid(queries, table, self.summary(), self.sample, self.target, attrs, pooled, budget, self.key[0] if budget else None)
-        if self.gone is None or self.ends is None:
-            return found
-        # an extreme over a leaf whose kept ones are all deleted isn't known, whatever the other leaves have
-        spent = estimate.classify(query_table(spark, queries, attrs), table, attrs).filter("covered").join(self.ends_now()[1], "leaf_id").groupBy("qid").agg(F.collect_set("side").alias("spent"))
-        known = lambda c: F.when(~F.coalesce(F.array_contains("spent", c), F.lit(False)), F.col(c)).alias(c)
-        return found.join(spent, "qid", "left").select("qid", "cnt", "sum", "avg", known("min"), known("max"))
+        if not self.ready:
+            raise NotReady("the synopsis answers queries after its catch-up")
+        return estimate.hybrid(queries, self.leaves, self._leaf(), self._now(), self.target, pooled, budget, self.key[0] if budget else None, self._kept["sizes"])
+
+    def query_async(self, pool: ThreadPoolExecutor, queries: list[RangeQuery]) -> Future:
+        """The answers' rows, from a thread of the pool: workloads of several callers run side by side in Spark's scheduler."""
+        return pool.submit(lambda: self.query(queries).collect())
 
     def rows(self) -> DataFrame:
         return self.counts().agg(F.sum("cnt").alias("cnt"))
 
+    def sampled(self) -> int:
+        return self.rows_now().count()
+
     def save(self, path: str) -> None:
-        spark = self.base.sparkSession
-        for name, df in (("base", self.base), ("delta", self.delta), ("sample", self.sample), ("gone", self.gone), ("ends", self.ends), ("fresh", self.fresh)):
+        """All tables and, last, a marker that says they are whole: a reader that finds it may load."""
+        spark = self.sample.sparkSession
+        tables = {"base": self.base, "delta": self.delta, "sample": self.sample, "log": self.log, "ends": self.ends}
+        for name, df in tables.items():
             if df is not None:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
-        meta = {"attrs": self.leaves.attrs, "tree": self.leaves.tree, "target": self.target, "key": self.key, "epoch": self.epoch, "delta": self.delta is not None, "gone": self.gone is not None, "ends": self.ends is not None, "fresh": self.fresh is not None, "config": self.config.__dict__}
+        meta = {"attrs": self.leaves.attrs, "tree": self.leaves.tree, "target": self.target, "key": self.key, "epoch": self.epoch, "batch": self.batch, "config": self.config.__dict__, "tables": [k for k, v in tables.items() if v is not None]}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
+    @staticmethod
+    def saved(spark: SparkSession, path: str) -> bool:
+        """Whether a whole synopsis is there."""
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")
+        return bool(mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark))
+
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Synopsis:
+        if not cls.saved(spark, path):
+            raise NotReady(f"no whole synopsis in {path}")
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
 
         def tree(x):
             return tuple([x[0], x[1], tree(x[2]), tree(x[3])]) if isinstance(x, list) else x
 
-        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        found = {name: spark.read.parquet(f"{path}/{name}") for name in meta["tables"]}
         config = SynopsisConfig(**{**meta["config"], "baselines": tuple(meta["config"]["baselines"])})
-        return cls(Leaves.of(meta["attrs"], tree(meta["tree"])), read("base"), read("delta") if meta["delta"] else None, read("sample"), meta["target"], tuple(meta["key"]), config, meta["epoch"], read("gone") if meta["gone"] else None, *(read(x) if meta.get(x) else None for x in ("ends", "fresh")))
+        return cls(Leaves.of(meta["attrs"], tree(meta["tree"])), meta["target"], tuple(meta["key"]), config, epoch=meta["epoch"], batch=meta["batch"], **found)
+
