@@ -17,8 +17,8 @@ from .operators.partition import Leaves
 from .plans.query import RangeQuery
 from .shared import stored
 
-#: Sample rows of changes are put into the sample's own table once they are more than this share of it.
-COMPACT_SHARE = 0.25
+#: So many logs of changes are put into the sample's own table together.
+COMPACT_LOGS = 16
 
 
 class NotReady(RuntimeError):
@@ -45,6 +45,7 @@ class Synopsis:
     log: DataFrame | None = None
     epoch: int = 0
     batch: int = -1
+    logs: int = 0
     _kept: dict = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
@@ -87,13 +88,17 @@ class Synopsis:
         if batch is not None and batch <= self.batch:
             return self
         delta = summary.signed(changes, self.leaves, self.target)
-        delta, _ = stored((delta if self.delta is None else summary.merge(self.delta, delta)).coalesce(1), "delta")
         sampled = sampling.hash_sample(changes, self.config.sample_rate * self.config.oversample, *self.key)
         log = self.leaves.place(sampled).withColumn("times", summary.sign().cast("long")).select(*self.sample.columns, "times")
-        log, _ = stored(log.coalesce(8), "log", "leaf_id")
-        ends, _ = stored(summary.ends_after(self.ends, changes, self.leaves, self.target, self.key, self.config.extremes).coalesce(1), "ends")
-        out = replace(self, delta=delta, log=log if self.log is None else self.log.unionByName(log), ends=ends, epoch=self.epoch + 1, batch=self.batch if batch is None else batch, _kept={})
-        return out.compact() if out.log.count() > COMPACT_SHARE * out.sample.count() else out
+        # three small tables, each from one scan of the changes, written side by side
+        parts = (
+            ((delta if self.delta is None else summary.merge(self.delta, delta)).coalesce(1), "delta"), (log.coalesce(8), "log", "leaf_id"),
+            (summary.ends_after(self.ends, changes, self.leaves, self.target, self.key, self.config.extremes).coalesce(1), "ends"),
+        )
+        with ThreadPoolExecutor(len(parts)) as pool:
+            (delta, _), (log, _), (ends, _) = (f.result() for f in [pool.submit(stored, *p) for p in parts])
+        out = replace(self, delta=delta, log=log if self.log is None else self.log.unionByName(log), ends=ends, logs=self.logs + 1, epoch=self.epoch + 1, batch=self.batch if batch is None else batch, _kept={})
+        return out.compact() if out.logs >= COMPACT_LOGS else out
 
     def rows_now(self) -> DataFrame:
         """The sample with the log's inserts and without its deletes: of equal rows, as many as there are left."""
@@ -110,7 +115,7 @@ class Synopsis:
         both = self.sample.withColumn("times", F.lit(1).cast("long")).unionByName(self.log)
         waiting, _ = stored(both.groupBy(*self.sample.columns).agg(F.sum("times").alias("times")).filter("times < 0").coalesce(1), "log")
         sample, _ = stored(self.rows_now().repartitionByRange("leaf_id"), "sample", "leaf_id")
-        return replace(self, sample=sample, log=None if waiting.isEmpty() else waiting, _kept={})
+        return replace(self, sample=sample, log=None if waiting.isEmpty() else waiting, logs=0, _kept={})
 
     def counts(self) -> DataFrame:
         if self.base is None:
@@ -137,7 +142,7 @@ class Synopsis:
         delta = summary.signed(gone, self.leaves, self.target)
         delta, _ = stored((delta if self.delta is None else summary.merge(self.delta, delta)).coalesce(1), "delta")
         sample, _ = stored(kept.repartitionByRange("leaf_id"), "sample", "leaf_id")
-        return replace(self, delta=delta, sample=sample, log=None, epoch=self.epoch + 1, _kept={})
+        return replace(self, delta=delta, sample=sample, log=None, logs=0, epoch=self.epoch + 1, _kept={})
 
     def preload(self) -> Synopsis:
         """Keep the sample in the executors' memory (on their disks where it doesn't fit), and the leaves' numbers in the driver's."""

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from leafcast import __main__ as cli
 from leafcast import catalog, config, shared
 from leafcast.functions import geometry
 from leafcast.functions.scalars import arithmetic
@@ -494,3 +495,17 @@ def test_a_shared_folder_is_needed_on_a_cluster(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Session)
+
+
+def test_command_line(spark, tmp_path):
+    rng = random.Random(31)
+    columns = config.dataset("intelwireless").columns
+    (tmp_path / "rows.csv").write_text(",".join(columns) + "\n" + "\n".join(",".join(["d", "t", "1", "m", *(f"{rng.random() * 1000:.3f}" for _ in columns[4:])]) for _ in range(2000)) + "\n")
+    csv, file, out = (str(tmp_path / x) for x in ("rows.csv", "queries", "out"))
+    cli.main(["workload", "-n", "20", "intel", csv, file], spark)
+    assert len(tables.read_workload(spark, file)) == 20
+    cli.main(["run", "--samplerate", "0.3", "--catchup", "1", "-k", "8", "--out", out, "intel", csv, file], spark)
+    found = tables.read_results(spark, out, "qid int, query string, qhash string, cnt double, sum double, avg double, min double, max double").collect()
+    assert len(found) == 60 and sum(r["is_truth"] for r in found) == 20
+    with pytest.raises(SystemExit):
+        cli.main(["run", "nothing", csv, file, "--out", out], spark)
