@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401  binds pa.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import drop, new_path, shared_dir, stored  # noqa: F401  the operators take them from here
+from ..shared import drop, new_path, shared_dir, stored, written  # noqa: F401  the operators take them from here
 from ..ship import ship
 
 #: Words of all contracts: runs of anything but the six ASCII white-space bytes, which is how bytes.split() cuts.

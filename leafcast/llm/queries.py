@@ -45,6 +45,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(read(spark, sf_dir, "documents"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures of op5 that SQL has."""
+    return op5_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op2 that SQL has: where a rule decides, the verdict too."""
+    found = op2_url_filter(spark, sf_dir)
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(read(spark, sf_dir, "documents"), tokencount.sentencepiece_vocabulary(tokenizer_path(PIECES)))
 
@@ -73,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_url_filter, op3_html_text, op4_mix_sources, op5_quality_rules, op6_token_counts, op7_token_files, op8_packing, op9_language_id, op10_near_duplicates, pipeline)
+    found = (op1_fingerprints, op2_url_filter, op3_html_text, op4_mix_sources, op5_quality_rules, op6_token_counts, op7_token_files, op8_packing, op9_language_id, op10_near_duplicates, pipeline, quality_base, url_parts)
     return {f.__name__: f for f in found}
 
 
@@ -165,5 +176,32 @@ FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_reache
 """
 
 
+QUALITY_SQL = r"""
+WITH words AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) > 4)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM windows) WHERE k > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(0, 5) r(j) GROUP BY doc_id),
+measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM words)
+SELECT m.doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+       n_words < 10 OR 100 * coalesce(c.n, 0) > 20 * n_words AS base_failed
+FROM measured m LEFT JOIN covered c ON c.doc_id = m.doc_id
+"""
+
+URL_SQL = r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules(rule, of_host, of_path, ruled) AS (
+  VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'), ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fits AS (
+  SELECT p.page_id, r.rule, r.ruled, row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.rule) DESC) AS k FROM parts p
+  JOIN rules r ON (p.host = r.of_host OR ends_with(p.host, '.' || r.of_host)) AND starts_with(p.path, r.of_path))
+SELECT p.page_id, host, path, f.rule, f.ruled FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_fingerprints": OP1_SQL, "op4_mix_sources": OP4_SQL, "op10_near_duplicates": OP10_SQL}
+    return {"quality_base": QUALITY_SQL, "url_parts": URL_SQL, "op1_fingerprints": OP1_SQL, "op4_mix_sources": OP4_SQL, "op10_near_duplicates": OP10_SQL}

@@ -333,6 +333,16 @@ def sql_rows(sql, found, columns):
     return sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall(), key=repr)
 
 
+def test_measures_and_urls_against_sql(spark):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for run in (queries.quality_base, queries.url_parts):
+        got = run(spark, SF)
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.oracle_sql()[run.__name__]})").fetchall()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_mixing_and_near_duplicates_against_sql(spark, docs):
     found = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", "n_chars").collect()]
     for sql, run in ((queries.OP4_SQL, queries.op4_mix_sources), (queries.OP10_SQL, queries.op10_near_duplicates)):
