@@ -5,8 +5,8 @@ Steps, and what moves in each:
    sets form a class and go on as its smallest doc_id, so copies cost one row each.
 2. Band keys shared by two or more classes are buckets. Each member is paired with its bucket's smallest member (a star, not all pairs), and the pairs
    are verified on the full sets; the links are united.
-3. Buckets whose members aren't all in one component are opened again: members of different components are compared by signature and folded set, in blocks
-   of bounded size, and what passes is verified as well. After this every pair of a bucket is linked, in one component by other links, or under 0.75 by its sets or by half of
+3. Buckets whose members aren't all in one component are opened again: members of different components and like sizes are compared by signature and folded set, in
+   blocks of bounded size, and what passes is verified as well. After this every pair of a bucket is linked, in one component by other links, or under 0.75 by its sets or by half of
    its places (see LEAST_AGREEMENT).
 4. Union-find runs in rounds of contraction over the links, each round a few aggregates and joins.
 """
@@ -31,6 +31,8 @@ BANDS, ROWS = 40, 4
 LEAST_AGREEMENT = 0.5
 #: Members of a bucket that one task compares at a time.
 BLOCK = 512
+#: Sets of a pair at 0.75 differ in size by a third at most: with classes of a little more than that, they are in one class or in neighbouring ones.
+SIZE_CLASS = 1.34
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 WEIGHTS = [np.uint64(w) for w in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -221,6 +223,7 @@ def _late_links(group: pa.Table) -> pa.Table:
     overlap, so no link is lost here; what is returned is verified on the full sets afterwards. Nothing but such pairs leaves the task, however many members are alike.
     """
     node, root, n, band = (group.column(c).to_numpy() for c in ("node", "root", "n", "band"))
+    lower = group.column("lower").to_numpy(zero_copy_only=False).astype(bool)
     keys = np.asarray(pa.compute.list_flatten(group.column("bands"))).reshape(len(node), BANDS)
     first, second = group.column("first").to_numpy(zero_copy_only=False).astype(bool), group.column("second").to_numpy(zero_copy_only=False).astype(bool)
     sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
@@ -233,7 +236,8 @@ def _late_links(group: pa.Table) -> pa.Table:
     late = np.full(len(node), len(node))
     late[turn] = turn
     for i in turn.tolist():
-        fits = ((first & second[i]) | (second & first[i])) & (root != root[i]) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n) & (late > i)
+        # pairs of two members of the upper size class are met in that class' own group
+        fits = ((first & second[i]) | (second & first[i])) & (lower | lower[i]) & (root != root[i]) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n) & (late > i)
         at = np.flatnonzero(fits)
         at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
         at = at[(keys[at] == keys[i]).argmax(axis=1) == band[i]]
@@ -286,13 +290,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rooted = within.alias("w").join(first.alias("c"), F.col("w.node") == F.col("c.node"), "left").select("w.key", "w.band", "w.node", "w.k", F.coalesce("c.root", "w.node").alias("root"))
     rooted, p_rooted = stored(rooted, "rooted")
     undecided = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    # the star decided buckets of two members
-    opened = rooted.filter("k > 2").join(undecided, "key").join(classes.select("node", "n", "signature", "bands"), "node").join(sets.select("node", "small").hint("merge"), "node")
-    opened = opened.withColumn("blocks", F.ceil(F.col("k") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # the star decided buckets of two members. A bucket is split by set sizes: a group holds the members of a size class and of the next one, and those of one
+    # component or without the lower class ask nothing
+    sized = rooted.filter("k > 2").join(undecided, "key").join(classes.select("node", "n"), "node").select("key", "band", "node", "root", "n")
+    size_class = F.floor(F.log(F.col("n")) / float(np.log(SIZE_CLASS))).cast("int")
+    spread = sized.withColumn("c", size_class).withColumn("g", F.explode(F.array(F.col("c"), F.col("c") - 1))).withColumn("lower", F.col("c") == F.col("g"))
+    spread, p_spread = stored(spread, "spread")
+    groups = spread.groupBy("key", "g").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("lower").alias("any")).filter("low <> high and any")
+    opened = spread.hint("merge").join(groups.select("key", "g", "m"), ["key", "g"]).join(classes.select("node", "signature", "bands"), "node").join(sets.select("node", "small").hint("merge"), "node")
+    opened = opened.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     opened = opened.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    opened = opened.select("key", "i", "j", "band", "node", "root", "n", "signature", "bands", "small", (F.col("own") == F.col("i")).alias("first"), (F.col("own") == F.col("j")).alias("second"))
-    more = map_groups(opened, ["key", "i", "j"], _late_links, "a long, b long").distinct()
+    opened = opened.select("key", "g", "i", "j", "band", "node", "root", "n", "lower", "signature", "bands", "small", (F.col("own") == F.col("i")).alias("first"), (F.col("own") == F.col("j")).alias("second"))
+    more = map_groups(opened, ["key", "g", "i", "j"], _late_links, "a long, b long").distinct()
     late, p_late = stored(verified(more, sets), "links")
     final, p_final = components(links.unionByName(late))
 
@@ -303,5 +313,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = base.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     out, _ = stored(out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
-    drop(spark, p_base, p_classes, p_repeated, p_buckets, p_within, p_sets, p_links, p_rooted, p_late, *p_first, *p_final)
+    drop(spark, p_base, p_classes, p_repeated, p_buckets, p_within, p_sets, p_links, p_rooted, p_spread, p_late, *p_first, *p_final)
     return out

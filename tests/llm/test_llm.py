@@ -817,6 +817,27 @@ def test_near_duplicates(spark, edge, empty):
     assert all(r["component_id"] == r["doc_id"] for r in odd)
 
 
+def test_near_duplicates_of_many_sizes_in_one_bucket(spark):
+    """A passage that all documents hold, at the head of texts of all lengths: links go between neighbouring sizes, across size classes and their edges."""
+    rng = random.Random(17)
+    passage = [f"p{i}" for i in range(40)]
+    found = []
+    for i, n in enumerate([*range(0, 60, 2), 13, 13, 27, 27] * 2):
+        tail = [f"t{k}" for k in range(n)] if i % 2 else [f"u{rng.randrange(10**6)}" for _ in range(n)]
+        found.append((i, " ".join(passage + tail)))
+    for block in (near_dup.BLOCK, 5):
+        near_dup.BLOCK, before = block, near_dup.BLOCK
+        try:
+            got = sorted(tuple(r.values()) for r in rows(near_dup.near_duplicates(spark.createDataFrame(found, "doc_id long, text string"))))
+        finally:
+            near_dup.BLOCK = before
+        assert got == brute_force_components(found)
+    sizes = np.arange(1, 5000)
+    upper = np.floor(sizes * 4 / 3).astype(int)
+    place = lambda n: np.floor(np.log(n) / np.log(near_dup.SIZE_CLASS))
+    assert (place(upper) - place(sizes)).max() <= 1
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 400, dtype=np.uint64)
@@ -841,7 +862,7 @@ def test_late_pairs_are_met_in_the_band_whose_bucket_they_share():
     small = np.arange(100, dtype="<u4").tobytes()
     for i in misled:
         group = pa.table({
-            "node": [1, 2], "root": [1, 2], "n": [100, 100], "band": [int((a[i] == b[i]).argmax())] * 2, "first": [True, True], "second": [True, True],
+            "node": [1, 2], "root": [1, 2], "n": [100, 100], "band": [int((a[i] == b[i]).argmax())] * 2, "first": [True, True], "second": [True, True], "lower": [True, False],
             "signature": [fold(one[i]).tobytes(), fold(other[i]).tobytes()], "bands": [a[i].tolist(), b[i].tolist()], "small": [small, small],
         })
         assert near_dup._late_links(group).num_rows == 1
