@@ -1,6 +1,7 @@
 """Operators on the 19-row fixture and small tables, and every registered query with SQL against DuckDB."""
 
 import random
+import time
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
@@ -509,3 +510,37 @@ def test_command_line(spark, tmp_path):
     assert len(found) == 60 and sum(r["is_truth"] for r in found) == 20
     with pytest.raises(SystemExit):
         cli.main(["run", "nothing", csv, file, "--out", out], spark)
+
+
+def test_kd_splits_where_queries_may_err_most(spark):
+    rng = np.random.default_rng(8)
+    points = rng.random((200, 2))
+    values = np.where(points[:, 0] < 0.5, rng.normal(0, 1, 200), rng.normal(0, 50, 200))
+    df = spark.createDataFrame([(float(a), float(b), float(v)) for (a, b), v in zip(points, values, strict=True)], "a double, b double, v double")
+    leaves = partition.kd(df, ["a", "b"], 3, target="v", population=2000)
+    # the right half errs most, so it is the one that is split at depth 1
+    cut = float(np.sort(points[:, 0])[100])
+    assert [box[0] for box in leaves.boxes] == [(config.LOW, cut), (cut, config.HIGH), (cut, config.HIGH)]
+    plain = partition.kd(df, ["a", "b"], 3)
+    assert [box[0] for box in plain.boxes] == [(config.LOW, cut), (config.LOW, cut), (cut, config.HIGH)]
+
+
+def test_streams_from_the_beginning_or_from_now(spark, tmp_path):
+    root = f"{tmp_path}/in"
+    topics.create(spark, root)
+    send = lambda *lines: topics.send(spark.createDataFrame([(x,) for x in lines], "value string"), root, "tick")
+    send("t0")
+    time.sleep(1.1)
+    late, whole = topics.stream(spark, root, latest=True), topics.stream(spark, root, files_a_batch=1)
+    time.sleep(1.1)
+    send("t1")
+    for df, want in ((late, ["t1"]), (whole, ["t0", "t1"])):
+        name = f"seen_{len(want)}"
+        df.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}").trigger(availableNow=True).start().awaitTermination()
+        assert sorted(r["value"] for r in spark.table(name).collect()) == want
+    assert topics.topics(spark, root) == sorted(topics.TOPICS) and topics.size(spark, root, "tick") == 2
+
+
+def test_sizes_of_samples():
+    cfg = config.SynopsisConfig(leaves=10, sample_rate=0.02, oversample=2.0)
+    assert (cfg.reservoir(1000), cfg.partition_sample) == (40, 768)
