@@ -899,6 +899,30 @@ def test_stages_on_edge_cases_and_empty_tables(spark, edge, empty):
     assert judged <= {11, None, 9, 3} and 7 not in judged
 
 
+def test_one_very_long_text_among_short_ones(spark, tokenizer):
+    """200,000 words beside short texts: every operator reads all of it."""
+    rng = random.Random(19)
+    words = [f"{rng.choice(('the', 'and', 'house', 'river'))}{rng.randrange(3000)}" for _ in range(200_000)]
+    long = " ".join(words)
+    found = [(1, long, "en", "a", len(long)), (2, long + " end", "en", "a", 0), (3, "a short text of some words in it, and more of the same", "de", "b", 0)]
+    df = spark.createDataFrame(found, DOCS)
+    prints = {r["doc_id"]: r for r in rows(winnowing.compare_with_edits(df))}
+    assert prints[1]["near_next"] > 0.99 and prints[1]["n_chars"] == len(long) and int(prints[1]["fingerprint"].split("-")[0]) > 20_000
+    judged = {r["doc_id"]: r for r in rows(quality.quality_rules(df))}
+    assert judged[1]["n_words"] == 200_000 and judged[2]["n_words"] == 200_001
+    ids = {i: n for i, n in expected(tokenizer, [r[:2] for r in found], 0)}
+    packed = rows(packing.best_fit_packing(df, tokenizer))
+    total = Counter()
+    for r in packed:
+        total[r["doc_id"]] += r["length"]
+    assert total == {i: len(n) for i, n in ids.items()}
+    near = {r["doc_id"]: r for r in rows(near_dup.near_duplicates(df))}
+    assert near[2]["component_id"] == 1 and near[1]["n_shingles"] == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    assert {r["taken"] for r in rows(mixing.mix_sources(df)) if r["doc_id"] == 3} == {26}
+    net = language.train([("the house and the river", "en"), ("das haus und der fluss", "de")], steps=5)
+    assert net.documents([long.encode()])[0, -1] == len(long) and abs(net.documents([long.encode()])[0, :-1].sum() - len(long)) < 1
+
+
 def test_measures_with_clashing_names_and_empty_tables(edge, empty):
     v = tokencount.Vocabulary(("a",), ("a",))
     clash = edge.withColumns({c: F.lit("x") for c in ("n_words", "n_tokens", "kept", "zstd_ratio", "start", "length")})
