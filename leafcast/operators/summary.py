@@ -57,12 +57,22 @@ def extremes(df: DataFrame, leaves: Leaves, target: str, key: str, n: int = 10)
     return out.select("leaf_id", "side", "rank", "value", "key")
 
 
-def ends(df: DataFrame, leaves: Leaves, target: str, key: tuple[str, ...], n: int) -> DataFrame:
+def ends(df: DataFrame, leaves: Leaves, target: str, key: tuple[str, ...], n: int, sample: DataFrame | None = None) -> DataFrame:
     """The extremes of each leaf as a state that changes are merged into: leaf_id, side, edge, value, key, times.
 
-    All rows strictly beyond `edge` are in the state, and some at it; a null edge says that all rows of the leaf are. Rows without a target have no part in it.
+    All rows strictly beyond `edge` are in the state, and some at it; a null edge says that all rows of the leaf are. Rows without a target have no part in it. `sample`: rows of the
+    table with their leaf_id. The n-th extreme of a leaf's sample rows bounds that of its rows, so that all rows but about n over the sampling rate are passed over before any is sorted.
     """
-    found = extremes(df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).withColumn("__key", F.struct(*key)), leaves, target, "__key", n)
+    rows = df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double"))).withColumn("__key", F.struct(*key))
+    if sample is not None:
+        known = sample.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")))
+        place = lambda order: F.row_number().over(Window.partitionBy("leaf_id").orderBy(order))
+        ranked = known.select("leaf_id", F.col(target).alias("v"), place(F.col(target).asc()).alias("up"), place(F.col(target).desc()).alias("down")).filter((F.col("up") == n) | (F.col("down") == n))
+        bounds = ranked.groupBy("leaf_id").agg(F.max(F.when(F.col("up") == n, F.col("v"))).alias("__low"), F.max(F.when(F.col("down") == n, F.col("v"))).alias("__high"))
+        # a row a leaf
+        near = F.col("__low").isNull() | (F.col(target) <= F.col("__low")) | (F.col(target) >= F.col("__high"))
+        rows = leaves.place(rows).join(F.broadcast(bounds), "leaf_id", "left").filter(near).drop("leaf_id", "__low", "__high")
+    found = extremes(rows, leaves, target, "__key", n)
     return _trimmed(found.select("leaf_id", "side", F.lit(None).cast("double").alias("edge"), F.col("value").cast("double").alias("value"), "key", F.lit(1).cast("long").alias("times")), n, True)
 
 

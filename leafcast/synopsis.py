@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 import numpy as np
 from pyspark import StorageLevel
@@ -12,13 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import SynopsisConfig
+from .functions.scalars import total
 from .operators import estimate, partition, sampling, summary
 from .operators.partition import Leaves
 from .plans.query import RangeQuery
-from .shared import stored
+from .shared import drop, stored
 
-#: So many logs of changes are put into the sample's own table together.
+#: So many batches of changes are put into the sample's own table together.
 COMPACT_LOGS = 16
+#: Rows of a table that is sent to all executors, at most.
+MOST_BROADCAST = 500_000
 
 
 class NotReady(RuntimeError):
@@ -30,7 +35,7 @@ class Synopsis:
     """All tables are written in the shared folder, so a query reads them alone, never the table that they are of.
 
     `base` has the catch-up counts and sums of each leaf (null before the catch-up), `delta` the signed change since, `sample` the rows kept (leaf_id, key, attributes and
-    target, in the order of leaves), `log` signed rows that change the sample, `ends` the extremes (see `summary.ends`). Rows that miss an attribute are in no leaf: a
+    target, in the order of leaves), `log` rows that change the sample, each with how many of it come or (below 0) go, `ends` the extremes (see `summary.ends`). Rows that miss an attribute are in no leaf: a
     synopsis answers for rows that have all of them. `epoch` counts the changes that are in, `batch` is the last numbered one.
     """
 
@@ -64,18 +69,21 @@ class Synopsis:
         sample = leaves.place(sampling.hash_sample(df, config.sample_rate * config.oversample, *key)).select("leaf_id", *wanted)
         # ranges of leaves make few files, each in the order of leaves
         sample, _ = stored(sample.repartitionByRange("leaf_id"), "sample", "leaf_id")
-        ends, _ = stored(summary.ends(df, leaves, target, key, config.extremes).coalesce(1), "ends")
+        ends, _ = stored(summary.ends(df, leaves, target, key, config.extremes, sample).coalesce(1), "ends")
         out = cls(leaves, target, key, config, sample, ends)
         return out.catch_up(df) if ready else out
 
     def catch_up(self, df: DataFrame) -> Synopsis:
         """Summaries of the table as it was when the synopsis was built: the caller passes that snapshot, and what came after it as changes, so no row is counted twice."""
-        if self.config.catch_up >= 1:
-            base = summary.summarise(df, self.leaves, self.target)
-        else:
-            seen = sampling.hash_sample(df, self.config.catch_up, *self.key, salt="c")
-            base = summary.scale(summary.summarise(seen, self.leaves, self.target), df.count(), seen.count())
-        base, _ = stored(base.select("leaf_id", F.col("cnt").cast("double").alias("cnt"), "sum").coalesce(1), "base")
+        seen = df if self.config.catch_up >= 1 else sampling.hash_sample(df, self.config.catch_up, *self.key, salt="c")
+        # rows without a leaf are counted too, as the share is one of all rows
+        sums = seen.groupBy(self.leaves.leaf_id().alias("leaf_id")).agg(F.count("*").alias("cnt"), total(F.col(self.target)).alias("sum"))
+        sums, path = stored(sums.coalesce(1), "sums")
+        base = sums.filter("leaf_id is not null")
+        if self.config.catch_up < 1:
+            base = summary.scale(base, df.count(), sums.agg(F.sum("cnt")).first()[0] or 0)
+        base, _ = stored(base.select("leaf_id", F.col("cnt").cast("double").alias("cnt"), "sum"), "base")
+        drop(df.sparkSession, path)
         return replace(self, base=base, _kept={})
 
     @property
@@ -90,6 +98,7 @@ class Synopsis:
         delta = summary.signed(changes, self.leaves, self.target)
         sampled = sampling.hash_sample(changes, self.config.sample_rate * self.config.oversample, *self.key)
         log = self.leaves.place(sampled).withColumn("times", summary.sign().cast("long")).select(*self.sample.columns, "times")
+        log = self._net(log if self.log is None else self.log.unionByName(log))
         # three small tables, each from one scan of the changes, written side by side
         parts = (
             ((delta if self.delta is None else summary.merge(self.delta, delta)).coalesce(1), "delta"), (log.coalesce(8), "log", "leaf_id"),
@@ -97,23 +106,37 @@ class Synopsis:
         )
         with ThreadPoolExecutor(len(parts)) as pool:
             (delta, _), (log, _), (ends, _) = (f.result() for f in [pool.submit(stored, *p) for p in parts])
-        out = replace(self, delta=delta, log=log if self.log is None else self.log.unionByName(log), ends=ends, logs=self.logs + 1, epoch=self.epoch + 1, batch=self.batch if batch is None else batch, _kept={})
+        out = replace(self, delta=delta, log=log, ends=ends, logs=self.logs + 1, epoch=self.epoch + 1, batch=self.batch if batch is None else batch, _kept={})
         return out.compact() if out.logs >= COMPACT_LOGS else out
 
+    def _net(self, log: DataFrame) -> DataFrame:
+        """One row for each of the log's rows that it changes at all."""
+        return log.groupBy(*self.sample.columns).agg(F.sum("times").alias("times")).filter("times <> 0")
+
+    def _copies(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*self.sample.columns)
+
     def rows_now(self) -> DataFrame:
-        """The sample with the log's inserts and without its deletes: of equal rows, as many as there are left."""
+        """The sample with the log's inserts and without its deletes: of equal rows, as many as there are left. Sample rows that no delete names pass as they are; the log goes out to
+        them while it is small, and meets them by a shuffle beyond that."""
         if self.log is None:
             return self.sample
-        both = self.sample.withColumn("times", F.lit(1).cast("long")).unionByName(self.log)
-        net = both.groupBy(*self.sample.columns).agg(F.sum("times").alias("times")).filter("times > 0")
-        return net.withColumn("times", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select(*self.sample.columns)
+        if "gone" not in self._kept:
+            gone = self.log.filter("times < 0")
+            self._kept["gone"] = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
+        s, g = self.sample.alias("s"), self._kept["gone"].alias("g")
+        same = reduce(and_, (F.col(f"s.{c}").eqNullSafe(F.col(f"g.{c}")) for c in self.sample.columns))
+        left = s.join(g, same).groupBy(*(F.col(f"s.{c}") for c in self.sample.columns)).agg((F.count("*") + F.min("g.times")).alias("times")).filter("times > 0")
+        return s.join(g, same, "left_anti").unionByName(self._copies(left)).unionByName(self._copies(self.log.filter("times > 0")))
 
     def compact(self) -> Synopsis:
         """The sample as one table again. Deletes that wait for their insert stay in the log."""
         if self.log is None:
             return self
-        both = self.sample.withColumn("times", F.lit(1).cast("long")).unionByName(self.log)
-        waiting, _ = stored(both.groupBy(*self.sample.columns).agg(F.sum("times").alias("times")).filter("times < 0").coalesce(1), "log")
+        s, g = self.sample.alias("s"), self.log.filter("times < 0").alias("g")
+        same = reduce(and_, (F.col(f"s.{c}").eqNullSafe(F.col(f"g.{c}")) for c in self.sample.columns))
+        met = s.join(g, same).groupBy(*(F.col(f"g.{c}") for c in self.sample.columns)).agg(F.count("*").alias("times"))
+        waiting, _ = stored(self._net(g.select("g.*").unionByName(met)).filter("times < 0").coalesce(1), "log")
         sample, _ = stored(self.rows_now().repartitionByRange("leaf_id"), "sample", "leaf_id")
         return replace(self, sample=sample, log=None if waiting.isEmpty() else waiting, logs=0, _kept={})
 
