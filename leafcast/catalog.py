@@ -65,8 +65,8 @@ def r4(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def r2(df: DataFrame) -> DataFrame:
-    """For sums in the billions: two places of the sum."""
-    return df.withColumns({"sum": F.round("sum", 2), "avg": F.round("avg", 8)})
+    """For sums in the billions: two places of the sum, six of the average."""
+    return df.withColumns({"sum": F.round("sum", 2), "avg": F.round("avg", 6)})
 
 
 # SQL parts
@@ -117,7 +117,7 @@ answer AS (SELECT q.qid, coalesce(sum(p.cnt), 0) AS cnt, coalesce(sum(p.sum), 0)
 
 ANSWER = "SELECT qid, round(cnt, 4) AS cnt, round(sum, 4) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 8) AS avg, min, max FROM answer"
 EXACT = f"exact AS (SELECT q.qid, count(x) AS cnt, coalesce({SUM.format('value')}, 0) AS sum, min(value) AS min, max(value) AS max FROM q LEFT JOIN ev ON x >= lo_x AND x < hi_x GROUP BY q.qid)"
-EXACT_OUT = "SELECT qid, cnt, round(sum, 2) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 8) AS avg, min, max FROM "
+EXACT_OUT = "SELECT qid, cnt, round(sum, 2) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 6) AS avg, min, max FROM "
 SUMMARY_OUT = "SELECT leaf_id, cnt, round(sum, 4) AS sum, min, max FROM summary"
 
 ND_CONDITION = " AND ".join(f"{a} >= lo_{a} AND {a} < hi_{a}" for a in ND)
@@ -321,7 +321,7 @@ def leaf_assign_nd(spark, sf):
     return li.groupBy(line_leaves(li).leaf_id().alias("leaf_id")).agg(F.count("*").alias("cnt"))
 
 
-@query(f"WITH {KD}, {ND_SUMMARY}, {ND_SAMPLE}, {hybrid_sql(ND_QUERIES, ND, 'l_extendedprice', 'leaves')} {ANSWER.replace('round(sum, 4)', 'round(sum, 2)')}")
+@query(f"WITH {KD}, {ND_SUMMARY}, {ND_SAMPLE}, {hybrid_sql(ND_QUERIES, ND, 'l_extendedprice', 'leaves')} {ANSWER.replace('round(sum, 4)', 'round(sum, 2)').replace('END, 8)', 'END, 6)')}")
 def hybrid_nd(spark, sf):
     li = lineitem(spark, sf)
     leaves = line_leaves(li)
@@ -400,7 +400,7 @@ def variance_partition(spark, sf):
 FRACTIONS = tuple(i / 10 for i in range(1, 10))
 
 
-@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, r AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS n FROM ev), p AS (SELECT * FROM (VALUES {', '.join(f'({p!r}::DOUBLE)' for p in FRACTIONS)}) AS t(fraction)), a AS (SELECT p.fraction, q.qid, count(x) AS cnt, coalesce({SUM.format('value')}, 0) AS sum FROM p, q LEFT JOIN r ON x >= lo_x AND x < hi_x AND rn <= floor(n * p.fraction) GROUP BY 1, 2) SELECT fraction, qid, cnt, round(sum, 2) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 8) AS avg FROM a")
+@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, r AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS n FROM ev), p AS (SELECT * FROM (VALUES {', '.join(f'({p!r}::DOUBLE)' for p in FRACTIONS)}) AS t(fraction)), a AS (SELECT p.fraction, q.qid, count(x) AS cnt, coalesce({SUM.format('value')}, 0) AS sum FROM p, q LEFT JOIN r ON x >= lo_x AND x < hi_x AND rn <= floor(n * p.fraction) GROUP BY 1, 2) SELECT fraction, qid, cnt, round(sum, 2) AS sum, round(CASE WHEN cnt > 0 THEN sum / cnt END, 6) AS avg FROM a")
 def ground_truth_prefixes(spark, sf):
     return r2(workload.prefix_truth(events(spark, sf), QUERIES, "value", "event_id", FRACTIONS))
 
