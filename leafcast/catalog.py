@@ -672,6 +672,141 @@ def workload_names(spark, sf):
     return spark.createDataFrame([(k, w.file_name(2000)) for k, w in config.WORKLOADS.items()], "name string, file string")
 
 
+@query(f"{BASE} SELECT leaf_id, cnt::DOUBLE AS cnt, round(sum, 4) AS sum, min, max, (SELECT count(*) FROM sample s WHERE s.leaf_id = u.leaf_id) AS sampled FROM summary u")
+def saved_and_loaded(spark, sf):
+    """A synopsis that was saved, found whole and loaded again."""
+    path = new_path(spark, "saved")
+    _synopsis(events(spark, sf)).save(path)
+    syn = Synopsis.load(spark, path)
+    sizes = syn.rows_now().groupBy("leaf_id").agg(F.count("*").alias("sampled"))
+    return r4(syn.summary().join(sizes, "leaf_id", "left").fillna(0, ["sampled"]).select("leaf_id", "cnt", "sum", "min", "max", "sampled"), "sum")
+
+
+@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, r AS (SELECT *, row_number() OVER (ORDER BY event_id) AS rn, count(*) OVER () AS n FROM ev), p AS (SELECT * FROM (VALUES (0.1::DOUBLE), (0.5::DOUBLE)) AS t(fraction)) SELECT p.fraction, q.qid, round(coalesce(sum(value), 0), 2) AS sum, count(x) AS cnt FROM p, q LEFT JOIN r ON x >= lo_x AND x < hi_x AND rn <= floor(n * p.fraction) GROUP BY 1, 2")
+def truth_file(spark, sf):
+    """Truths over prefixes, written as a JSON file and read back."""
+    path = new_path(spark, "truth")
+    found = workload.prefix_truth(events(spark, sf), QUERIES, "value", "event_id", (0.1, 0.5)).collect()  # a row for each query and prefix
+    tables.write_truth(spark, [(r["fraction"], str(r["qid"]), round(r["sum"], 2), r["cnt"], r["avg"]) for r in found], path)
+    rows = [(p, int(q), float(total), n) for p, q, total, n, _ in tables.read_truth(spark, path)]
+    return spark.createDataFrame(rows, "fraction double, qid int, sum double, cnt long")
+
+
+TEXTS = ["value;x:[1704067200.0, 1704153600.5]", "l_extendedprice;l_discount:[0.02, 0.07];l_quantity:[10.0, 40.0]", "value"]
+
+
+@query(f"SELECT query, substr(sha256(query), 1, 10) AS qhash FROM (VALUES {', '.join(f'({t!r})' for t in TEXTS)}) t(query)")
+def workload_file(spark, sf):
+    """A workload's file: written, left alone by a second writer, read and parsed."""
+    path = new_path(spark, "workload")
+    for some in (TEXTS, TEXTS[:1]):
+        tables.write_workload(spark, [RangeQuery.parse(t) for t in some], path)
+    return spark.createDataFrame([(str(q), q.hash) for q in tables.read_workload(spark, path)], "query string, qhash string")
+
+
+@query(f"WITH {EV}, {cuts_sql()}, {queries_sql(QUERIES, ('x',))} SELECT qid, leaf_id, greatest(q.lo_x, l.lo_x) AS lo, least(q.hi_x, l.hi_x) AS hi FROM q JOIN leaves l ON greatest(q.lo_x, l.lo_x) < least(q.hi_x, l.hi_x)")
+def sub_queries(spark, sf):
+    """The part of each query in each leaf."""
+    leaves = event_leaves(events(spark, sf))
+    found = [(i, k, q.within({"x": box[0]})) for i, q in enumerate(QUERIES) for k, box in enumerate(leaves.boxes)]
+    return spark.createDataFrame([(i, k, *part.edges("x")) for i, k, part in found if part], "qid int, leaf_id int, lo double, hi double")
+
+
+@query("SELECT * FROM (VALUES ('etf', 'volume', 0.0::DOUBLE, 1.1e9::DOUBLE), ('intelwireless', 'light', 0.0, 2000.0), ('intelwireless', 'voltage', 0.5, 32000.0), ('taxi', 'trip_distance', 0.0, 1000.0), ('taxipdt', 'trip_distance', 0.0, 1000.0)) t(name, attr, lo, hi)")
+def dataset_bounds(spark, sf):
+    """Data sets by name, whatever its case, with their domain bounds."""
+    found = [config.dataset(n) for n in ("ETF", "IntelWireless", " taxi ", "taxiPDT")]
+    return spark.createDataFrame([(d.name, a, lo, hi) for d in found for a, (lo, hi) in d.bounds.items()], "name string, attr string, lo double, hi double")
+
+
+@query(f"WITH {EV}, {cuts_sql()} SELECT leaf_id, CASE WHEN lo_x <= -1e308 THEN 'MIN' ELSE format('{{:,.2f}}', lo_x) END AS lo, CASE WHEN hi_x >= 1e308 THEN 'MAX' ELSE format('{{:,.2f}}', hi_x) END AS hi FROM leaves")
+def box_text(spark, sf):
+    at = event_leaves(events(spark, sf)).table(spark)
+    return at.select("leaf_id", geometry.edge_text(F.col("lo_x")).alias("lo"), geometry.edge_text(F.col("hi_x")).alias("hi"))
+
+
+SUMS = ["766000", "10 * (2 + 3)", "7 // 2 + 1", "-(4 - 9) % 3", "1 / 8"]
+
+
+@query("SELECT * FROM (VALUES ('766000', 766000.0::DOUBLE), ('10 * (2 + 3)', 50.0), ('7 // 2 + 1', 4.0), ('-(4 - 9) % 3', 2.0), ('1 / 8', 0.125)) t(text, value)")
+def arithmetic_values(spark, sf):
+    return spark.createDataFrame([(t, float(scalars.arithmetic(t))) for t in SUMS], "text string, value double")
+
+
+@query("SELECT * FROM (VALUES ('t_insert: 10 * 4 5', 'insert', 40, 5, true, ''), ('delete: 7', 'delete', 7, NULL, false, ''), ('query: rndelete', 'query', 0, NULL, false, 'rndelete'), ('sleep: 2', 'sleep', 2, NULL, false, ''), ('tock', 'tock', 0, NULL, false, '')) t(line, name, n, \"offset\", timed, word)")
+def command_lines(spark, sf):
+    lines = ["t_insert: 10 * 4 5", "delete: 7", "query: rndelete", "sleep: 2", "tock"]
+    found = [(line, workload.parse_command(line)) for line in lines]
+    return spark.createDataFrame([(line, c.name, c.n, c.offset, c.timed, c.word) for line, c in found], "line string, name string, n int, offset int, timed boolean, word string")
+
+
+@query("SELECT count(*) FILTER (WHERE event_id % 10 <> 3 AND event_id % 10 <> 4) AS rows FROM events")
+def command_script(spark, sf):
+    """A script of inserts and deletes over a table of ten parts: parts 0 to 4 go in, 3 and 4 come out again, then 5 to 9 go in."""
+    ev, held = events(spark, sf), []
+
+    def insert(c: workload.Command) -> None:
+        held.extend(range(c.offset or 0, (c.offset or 0) + c.n))
+
+    def delete(c: workload.Command) -> None:
+        del held[-c.n :]
+
+    workload.run_commands(["tick", "insert: 5 0", "delete: 2", "t_insert: 10 / 2 5", "tock", "exit", "insert: 1 0"], {"insert": insert, "delete": delete})
+    return tables.rows_in(ev.filter((F.col("event_id") % 10).isin(held)))
+
+
+@query("SELECT event_id, value FROM events ORDER BY sha256('r7|' || event_id::VARCHAR), event_id LIMIT 2")
+def random_pair(spark, sf):
+    return workload.random_pair(table(spark, sf, "events"), "event_id", 7).select("event_id", "value")
+
+
+@query(f"{BASE} SELECT event_id, leaf_id FROM (SELECT *, row_number() OVER (ORDER BY leaf_id, event_id) - 1 AS i FROM sample) WHERE i <> 40")
+def evict_nth_row(spark, sf):
+    ev = events(spark, sf)
+    return sampling.evict_nth(_sample(ev, event_leaves(ev)), 40, "event_id").select("event_id", "leaf_id")
+
+
+@query(f"{BASE} SELECT (SELECT count(*) FROM ev)::DOUBLE AS rows, (SELECT count(*) FROM sample) AS sampled, (SELECT floor(count(*) * {RATE})::BIGINT FROM ev) AS capacity, {int(1.2 * 64 * K)}::BIGINT AS partition_rows")
+def sizes_of_synopsis(spark, sf):
+    """Rows that the root stands for, sample rows, and what the settings make of the table's size."""
+    ev = events(spark, sf)
+    syn = _synopsis(ev)
+    return spark.createDataFrame([(syn.rows().first()[0], syn.sampled(), SMALL.reservoir(ev.count()), SMALL.partition_sample)], "rows double, sampled long, capacity long, partition_rows long")
+
+
+@query(f"WITH {EV}, {BEFORE}, {cuts_sql('base')}, placed AS (SELECT * FROM ev JOIN leaves ON x >= lo_x AND x < hi_x) SELECT leaf_id, count(*)::DOUBLE AS cnt, round(sum(value), 4) AS sum, count(*) FILTER (WHERE substr(sha256('s|' || event_id::VARCHAR), 1, 8) < '{scalars.below(RATE)}') AS sampled FROM placed GROUP BY leaf_id")
+def catch_up_after_inserts(spark, sf):
+    """A synopsis that takes inserts while its catch-up waits: nothing is counted twice, and new rows are in the sample."""
+    ev = events(spark, sf).select("event_id", "x", "value")
+    old = ev.filter("event_id % 4 <> 0")
+    syn = Synopsis.build(old, ["x"], "value", ("event_id",), SMALL, ready=False).apply(_changes(ev.filter("event_id % 4 = 0"), "I"))
+    done = syn.catch_up(old).compact()
+    sizes = done.rows_now().groupBy("leaf_id").agg(F.count("*").alias("sampled"))
+    return r4(done.counts().join(sizes, "leaf_id", "left").fillna(0, ["sampled"]).select("leaf_id", "cnt", "sum", "sampled"), "sum")
+
+
+@query("SELECT 'data' AS topic, count(*) FILTER (WHERE event_id % 2 = 0) AS messages FROM events UNION ALL SELECT 'deletion', count(*) FILTER (WHERE event_id % 5 = 0) FROM events UNION ALL SELECT 'query', 2 UNION ALL SELECT 'tick', 0")
+def topic_messages(spark, sf):
+    """Topics that were created, filled and listed."""
+    ev, root = events(spark, sf).select("event_id", "x", "value"), new_path(spark, "topics")
+    topics.create(spark, root)
+    topics.send(tables.to_lines(ev.filter("event_id % 2 = 0")), root, "data")
+    topics.send(tables.to_lines(ev.filter("event_id % 5 = 0")), root, "deletion")
+    topics.send(spark.createDataFrame([(str(q),) for q in SENT], "value string"), root, "query")
+    return topics.describe(spark, root)
+
+
+@query(f"WITH {EV}, {queries_sql(QUERIES, ('x',))}, {EXACT} SELECT 'groundtruth' AS name, qid, cnt, round(sum, 2) AS sum FROM exact")
+def result_files(spark, sf):
+    """Answers written as CSV files and read back by name; a second run of the truth is held against the first."""
+    ev, root = events(spark, sf), new_path(spark, "results")
+    found = estimate.exact(ev, QUERIES, "value")
+    tables.write_results(found, f"{root}/groundtruth")
+    back = tables.read_results(spark, root, "qid int, cnt long, sum double, avg double, min double, max double").filter("is_truth").drop("is_truth")
+    accuracy.assert_close(back, found)
+    return back.select(F.lit("groundtruth").alias("name"), "qid", "cnt", F.round("sum", 2).alias("sum"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

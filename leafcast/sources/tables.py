@@ -64,18 +64,17 @@ def read_results(spark: SparkSession, folder: str, schema: str, truth: str = "gr
     return spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(folder).withColumn("is_truth", F.lower(F.input_file_name()).contains(truth))
 
 
-def write_truth(rows: list[tuple[float, str, float, int, float]], path: str) -> None:
-    """{fraction: {query: [sum, cnt, avg]}} as one JSON file; a workload's truths are a list that the driver holds."""
+def write_truth(spark: SparkSession, rows: list[tuple[float, str, float, int, float]], path: str) -> None:
+    """{fraction: {query: [sum, cnt, avg]}} as JSON text; a workload's truths are a list that the driver holds."""
     out: dict = {}
     for fraction, query, total, n, mean in rows:
         out.setdefault(str(fraction), {})[query] = [total, n, mean]
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(out, f)
+    spark.createDataFrame([(json.dumps(out),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_truth(path: str) -> list[tuple[float, str, float, int, float]]:
-    with open(path, encoding="utf-8") as f:
-        return [(float(p), q, *v) for p, qs in json.load(f).items() for q, v in qs.items()]
+def read_truth(spark: SparkSession, path: str) -> list[tuple[float, str, float, int, float]]:
+    (text,) = spark.read.text(path, wholetext=True).first()
+    return [(float(p), q, *v) for p, qs in json.loads(text).items() for q, v in qs.items()]
 
 
 def write_workload(spark: SparkSession, queries: list[RangeQuery], path: str) -> None:

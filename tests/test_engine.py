@@ -140,8 +140,8 @@ def test_registry_and_files(spark, tmp_path):
     tables.write_workload(spark, qs, str(tmp_path / "w"))
     tables.write_workload(spark, qs * 2, str(tmp_path / "w"))
     assert tables.read_workload(spark, str(tmp_path / "w")) == qs
-    tables.write_truth([(0.1, "q", 5.0, 2, 2.5)], str(tmp_path / "t.json"))
-    assert tables.read_truth(str(tmp_path / "t.json")) == [(0.1, "q", 5.0, 2, 2.5)]
+    tables.write_truth(spark, [(0.1, "q", 5.0, 2, 2.5)], str(tmp_path / "t.json"))
+    assert tables.read_truth(spark, str(tmp_path / "t.json")) == [(0.1, "q", 5.0, 2, 2.5)]
 
 
 def test_empty_table(spark):
