@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import math
 import operator
 
 from pyspark.sql import Column
@@ -58,17 +57,31 @@ def total(c: Column) -> Column:
     return F.sum(c.cast("double"))
 
 
-def count_at_most(value: Column, edges: list[float]) -> Column:
+def count_at_most(value: Column, edges: list[float], fan: int = 16) -> Column:
     """How many of the edges, which are in ascending order, are at most the value; 0 for null.
 
-    A look at the first edge of each stretch, then at the edges of one stretch, with about the square root of their number in each. The edges are one literal."""
+    Edges are literals in levels: of each block of `fan` of a level, the last is an edge of the level above. A row looks at one block of each level, so that the work follows the
+    logarithm of their number."""
     if not edges:
         return F.lit(0)
-    n = math.isqrt(len(edges) - 1) + 1
-    listed = lambda xs: F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>")
-    below = lambda a: F.size(F.filter(a, lambda e: e <= value))
-    before = below(listed(edges[::n])) - 1
-    return F.when(value.isNull() | (before < 0), 0).otherwise(before * n + below(F.slice(listed(edges), F.greatest(before, F.lit(0)) * n + 1, n)))
+    step = 1
+    while step * fan < len(edges):
+        step *= fan
+    # a block's first place is a variable, so that it is computed once for all that reads it
+    let = lambda x, f: F.get(F.transform(F.array(x), f), 0)
+    def down(ends: Column, step: int):
+        def count(base: Column) -> Column:
+            block = F.slice(ends, (base / step).cast("int") + 1, fan) if step * fan < len(edges) else ends
+            return base + F.size(F.filter(block, lambda e: e <= value)) * step
+
+        return count
+
+    found = F.lit(0)
+    while step:
+        ends = F.split(F.lit(",".join(map(repr, edges[step - 1 :: step]))), ",").cast("array<double>")
+        found = let(found, down(ends, step))
+        step //= fan
+    return F.when(value.isNull(), 0).otherwise(found)
 
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg, ast.UAdd: operator.pos}

@@ -67,8 +67,8 @@ class Synopsis:
         else:
             leaves = partition.equal_depth(chosen, attrs[0], config.leaves)
         sample = leaves.place(sampling.hash_sample(df, config.sample_rate * config.oversample, *key)).select("leaf_id", *wanted)
-        # ranges of leaves make few files, each in the order of leaves
-        sample, _ = stored(sample.repartitionByRange("leaf_id"), "sample", "leaf_id")
+        # ranges of leaves and, in a large leaf, of keys: a query reads the files of the leaves that it cuts
+        sample, _ = stored(sample.repartitionByRange("leaf_id", *key), "sample", "leaf_id")
         ends, _ = stored(summary.ends(df, leaves, target, key, config.extremes, sample).coalesce(1), "ends")
         out = cls(leaves, target, key, config, sample, ends)
         return out.catch_up(df) if ready else out
@@ -137,7 +137,7 @@ class Synopsis:
         same = reduce(and_, (F.col(f"s.{c}").eqNullSafe(F.col(f"g.{c}")) for c in self.sample.columns))
         met = s.join(g, same).groupBy(*(F.col(f"g.{c}") for c in self.sample.columns)).agg(F.count("*").alias("times"))
         waiting, _ = stored(self._net(g.select("g.*").unionByName(met)).filter("times < 0").coalesce(1), "log")
-        sample, _ = stored(self.rows_now().repartitionByRange("leaf_id"), "sample", "leaf_id")
+        sample, _ = stored(self.rows_now().repartitionByRange("leaf_id", *self.key), "sample", "leaf_id")
         return replace(self, sample=sample, log=None if waiting.isEmpty() else waiting, logs=0, _kept={})
 
     def counts(self) -> DataFrame:
@@ -164,7 +164,7 @@ class Synopsis:
         gone = sampling.evicted(self.rows_now(), p, *self.key, round_=round_).withColumn("op", F.lit("D"))
         delta = summary.signed(gone, self.leaves, self.target)
         delta, _ = stored((delta if self.delta is None else summary.merge(self.delta, delta)).coalesce(1), "delta")
-        sample, _ = stored(kept.repartitionByRange("leaf_id"), "sample", "leaf_id")
+        sample, _ = stored(kept.repartitionByRange("leaf_id", *self.key), "sample", "leaf_id")
         return replace(self, delta=delta, sample=sample, log=None, logs=0, epoch=self.epoch + 1, _kept={})
 
     def preload(self) -> Synopsis:
