@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  binds pa.compute
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, drop, map_batches, map_groups, stored
@@ -31,6 +31,8 @@ BANDS, ROWS = 40, 4
 LEAST_AGREEMENT = 0.5
 #: Members of a bucket that one task compares at a time.
 BLOCK = 512
+#: Members of a bucket that meet one copy of their lead's set.
+PARTNERS = 4096
 #: Sets of a pair at 0.75 differ in size by a third at most: with classes of a little more than that, they are in one class or in neighbouring ones.
 SIZE_CLASS = 1.34
 
@@ -178,11 +180,17 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return map_batches(docs, run, "node long, shingles array<long>, small binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= 75 * union."""
+def verified(pairs: DataFrame, sets: DataFrame, ways: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= 75 * union. `ways` (a, ways): sets that go out in so many copies, as they have many partners; their pairs are then
+    dealt to the copies by `way`."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"), F.size("shingles").alias("na"))
+    if ways is None:
+        met = pairs.join(left.hint("merge"), "a")
+    else:
+        copies = ways.select("a", F.explode(F.sequence(F.lit(0), F.col("ways") - 1)).alias("way"))
+        met = pairs.join(left.hint("merge").join(copies, "a").hint("merge"), ["a", "way"])
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"), F.size("shingles").alias("nb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
+    both = met.join(right.hint("merge"), "b").filter((4 * F.col("na") >= 3 * F.col("nb")) & (4 * F.col("nb") >= 3 * F.col("na")))
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(100 * common >= 75 * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
@@ -253,6 +261,11 @@ def _late_links(group: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
+def _ways(k) -> Column:
+    """Copies of a set that meets k others."""
+    return F.ceil((F.col(k) if isinstance(k, str) else k) / PARTNERS)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document (columns doc_id, text).
 
@@ -282,8 +295,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = docs.hint("merge").join(within.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
     texts = texts.distinct() if repeats else texts
     sets, p_sets = stored(sets_of(texts.select(F.col("doc_id").alias("node"), "text").filter("text is not null")), "sets")
-    stars = within.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = verified(stars, sets)
+    # a lead of a large bucket meets its partners in several copies of its set, as many to each
+    stars = within.filter("node <> lead").groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.max("k").alias("k"))
+    stars = stars.select("a", "b", F.pmod(F.xxhash64("b"), _ways("k")).cast("int").alias("way"))
+    links = verified(stars, sets, buckets.groupBy(F.col("lead").alias("a")).agg(_ways(F.max("k")).cast("int").alias("ways")))
     links, p_links = stored(links.unionByName(own_links) if repeats else links, "links")
     first, p_first = components(links)
 

@@ -817,7 +817,7 @@ def test_near_duplicates(spark, edge, empty):
     assert all(r["component_id"] == r["doc_id"] for r in odd)
 
 
-def test_near_duplicates_of_many_sizes_in_one_bucket(spark):
+def test_near_duplicates_of_many_sizes_in_one_bucket(spark, monkeypatch):
     """A passage that all documents hold, at the head of texts of all lengths: links go between neighbouring sizes, across size classes and their edges."""
     rng = random.Random(17)
     passage = [f"p{i}" for i in range(40)]
@@ -825,12 +825,10 @@ def test_near_duplicates_of_many_sizes_in_one_bucket(spark):
     for i, n in enumerate([*range(0, 60, 2), 13, 13, 27, 27] * 2):
         tail = [f"t{k}" for k in range(n)] if i % 2 else [f"u{rng.randrange(10**6)}" for _ in range(n)]
         found.append((i, " ".join(passage + tail)))
-    for block in (near_dup.BLOCK, 5):
-        near_dup.BLOCK, before = block, near_dup.BLOCK
-        try:
-            got = sorted(tuple(r.values()) for r in rows(near_dup.near_duplicates(spark.createDataFrame(found, "doc_id long, text string"))))
-        finally:
-            near_dup.BLOCK = before
+    for block, partners in ((near_dup.BLOCK, near_dup.PARTNERS), (5, 3)):
+        monkeypatch.setattr(near_dup, "BLOCK", block)
+        monkeypatch.setattr(near_dup, "PARTNERS", partners)
+        got = sorted(tuple(r.values()) for r in rows(near_dup.near_duplicates(spark.createDataFrame(found, "doc_id long, text string"))))
         assert got == brute_force_components(found)
     sizes = np.arange(1, 5000)
     upper = np.floor(sizes * 4 / 3).astype(int)
