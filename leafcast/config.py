@@ -65,7 +65,7 @@ _PRICES = _doubles("pk open high low close volume idate")
 _TRIP_BOUNDS = {"trip_distance": (0.0, 1000.0)}
 _OHLC = ("open", "high", "low", "close", "idate", "volume")
 _TRIP_COLUMNS = ("pickup_date", "pickup_time", "dropoff_date", "dropoff_time", "trip_distance", "PULocationID", "DOLocationID")
-#: Columns that loaders add, as Spark SQL over the file's columns.
+#: Fixed values, here and in the two tables below: names of data sets, their columns, bounds and workloads. Columns that loaders add, as Spark SQL over the file's columns.
 _DEGREES = {"latitude": "CAST(latitude * 100000 AS INT)", "longitude": "CAST(longitude * 100000 AS INT)"}
 _CROSSINGS = {"idate": "unix_timestamp(to_date(split(`Date`, ' ')[0], 'M/d/yyyy')) / 1e6", "port": "`Port Code`"}
 _PURCHASES = {
