@@ -100,7 +100,7 @@ texts AS (
   UNION ALL
   SELECT doc_id, 1, substring(text, 1, n - n // 2) || substring(next_text, 1, n // 2) FROM nexts),
 units AS (
-  SELECT doc_id, kind, text, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]{1,8}'), lambda x: ('0x' || substring(md5(x), 1, 8))::BIGINT) AS u FROM texts),
+  SELECT doc_id, kind, text, list_transform(regexp_extract_all(text, 'UNIT'), lambda x: ('0x' || substring(md5(x), 1, 8))::BIGINT) AS u FROM texts),
 grams AS (SELECT doc_id, kind, u, unnest(range(greatest(len(u) - 4, least(len(u), 1)))) AS pos FROM units),
 hashed AS (
   SELECT doc_id, kind, pos,
@@ -128,6 +128,7 @@ JOIN full_lists o ON o.doc_id = n.doc_id AND o.kind = 0
 JOIN full_lists e ON e.doc_id = n.doc_id AND e.kind = 1
 JOIN full_lists x ON x.doc_id = n.next_id AND x.kind = 0
 """
+OP1_SQL = OP1_SQL.replace("'UNIT'", f"'{winnowing.UNIT}'")
 
 
 #: Documents have one source each here, so the flow fills every source from its own words, and a source's target is a level that rises until all sources

@@ -1,6 +1,6 @@
 """Document fingerprints by winnowing. DataFrame functions only.
 
-A text is read as units: runs between white space, cut every 8 code points. Each unit is hashed once, to a number; a run of K units has the rolling hash
+A text is read as units: runs between white space, cut every 8 code points, and single letters of scripts that are written without spaces. Each unit is hashed once, to a number; a run of K units has the rolling hash
 u[i] * B**4 + ... + u[i + 4] mod P, which each run could have from the one before by dropping a unit and taking one in. Of every W consecutive hashes the least is kept, the
 rightmost of equal ones, with its position. Any passage of K + W - 1 = 20 or more units that two texts share, cut alike, gives them a common fingerprint.
 """
@@ -17,7 +17,10 @@ from .common import id_edges
 
 K = 5
 W = 16
-UNIT = r"[^\x20\x09-\x0D]{1,8}"
+#: Thai and Lao, Burmese, Khmer, ideographs with kana and their signs, and their supplements: scripts that don't part words, where a cut every 8 letters would follow
+#: what stands before a passage.
+UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{A4CF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
+UNIT = rf"[{UNSPACED}]|[^\x20\x09-\x0D{UNSPACED}]{{1,8}}"
 #: Modulus and bases of the rolling hashes: one orders the runs of a window, the other makes a kept hash 62 bits long.
 P, B, B2 = 2**31 - 1, 1_000_003, 998_244_353
 #: Positions are counted down from here below a hash, so that the least number is that of the least hash, the rightmost of equal ones.

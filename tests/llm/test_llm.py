@@ -91,6 +91,22 @@ def test_shared_passages_share_fingerprints(spark):
     assert all(got[2 * i] & got[2 * i + 1] for i in range(60))
 
 
+def test_fingerprints_of_scripts_without_spaces(spark):
+    """A passage of 20 letters is found wherever it stands, and SQL says the same."""
+    rng = random.Random(16)
+    letters = [chr(c) for c in (*range(0x4E00, 0x4E80), *range(0x3042, 0x3060), *range(0x0E01, 0x0E20))]
+    some = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    found = []
+    for i in range(40):
+        passage = some(20)
+        found += [(2 * i, some(rng.randrange(30)) + passage + some(rng.randrange(30)), None, None, 0), (2 * i + 1, some(rng.randrange(30)) + passage + "and Latin " + some(rng.randrange(30)), None, None, 0)]
+    df = spark.createDataFrame(found, DOCS)
+    got = {r["doc_id"]: {x["h"] for x in r["fingerprint"]} for r in rows(winnowing.fingerprints(df))}
+    assert all(got[2 * i] & got[2 * i + 1] for i in range(40))
+    whole = winnowing.compare_with_edits(df)
+    assert sorted(map(tuple, whole.collect()), key=repr) == sql_rows(queries.OP1_SQL, found, whole.columns)
+
+
 def test_fingerprints_of_edge_cases(edge, empty):
     got = rows(winnowing.compare_with_edits(edge))
     assert len(got) == len(EDGE) and winnowing.compare_with_edits(empty).count() == 0
