@@ -10,9 +10,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.scalars import arithmetic, salted, total
+from ..functions.scalars import arithmetic, count_at_most, salted, total
 from ..plans.query import RangeQuery
 from .estimate import by_query
 from .sampling import bottom
@@ -43,8 +44,12 @@ def values_at(df: DataFrame, order: str, ranks: list[int], buckets: int = 255) -
     """The values of a unique column `order` at some ranks (from 1). Approximate quantiles cut the table in buckets, which are counted; only the buckets that hold a rank are put in
     order, each in a task. The quantiles are read once, so that all steps see the same buckets."""
     shares = F.array(*(F.lit((i + 1) / (buckets + 1)) for i in range(buckets)))
-    edges = sorted(set(df.agg(F.percentile_approx(order, shares, 100 * buckets).alias("e")).first()["e"] or []))
-    place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(order))) if edges else F.lit(0)
+    edges = sorted(set(df.agg(F.percentile_approx(order, shares, 20 * buckets).alias("e")).first()["e"] or []))
+    if isinstance(df.schema[order].dataType, T.NumericType):
+        # doubles keep the order of numbers, if not all differences, which is all that buckets need
+        place = count_at_most(F.col(order).cast("double"), sorted({float(e) for e in edges}))
+    else:
+        place = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(order))) if edges else F.lit(0)
     placed = df.select(order, F.when(F.col(order).isNull(), -1).otherwise(place).alias("__b"))
     sizes = {r["__b"]: r["n"] for r in placed.groupBy("__b").agg(F.count("*").alias("n")).collect()}
     within, at = {}, 0
