@@ -6,8 +6,9 @@ Steps, and what moves in each:
 2. Band keys shared by two or more classes are buckets. Each member is paired with its bucket's smallest member (a star, not all pairs), and the pairs
    are verified on the full sets; the links are united.
 3. Buckets whose members aren't all in one component are opened again: members of different components and like sizes are compared by signature and folded set, in
-   blocks of bounded size, and what passes is verified as well. After this every pair of a bucket is linked, in one component by other links, or under 0.75 by its sets or by half of
-   its places (see LEAST_AGREEMENT).
+   blocks of bounded size, and what passes is verified as well. Near copies share most of their buckets, so the opened buckets of one lead meet as one group, each member once,
+   unless that makes more pairs. Of a group's largest component only the blocks that meet other members are made. After this every pair of a bucket is linked, in one component by other
+   links, or under 0.75 by its sets or by half of its places (see LEAST_AGREEMENT).
 4. Union-find runs in rounds of contraction over the links, each round a few aggregates and joins.
 """
 
@@ -227,12 +228,13 @@ def components(links: DataFrame) -> tuple[DataFrame, list[str]]:
 def _late_links(group: pa.Table) -> pa.Table:
     """Pairs of one block pair whose components differ, whose sizes allow 0.75, whose signatures agree, and whose folded sets overlap enough.
 
-    A pair that shares several buckets is looked at in its first band alone, found on the keys that make the buckets. Folding sets to 32 bits can only add to an
+    Where a group is one bucket, a pair that shares several is looked at in its first band alone, found on the keys that make the buckets. A group of all buckets of a lead
+    has -1 for its band, and all its pairs are looked at. Folding sets to 32 bits can only add to an
     overlap, so no link is lost here; what is returned is verified on the full sets afterwards. Nothing but such pairs leaves the task, however many members are alike.
     """
     node, root, n, band = (group.column(c).to_numpy() for c in ("node", "root", "n", "band"))
     lower = group.column("lower").to_numpy(zero_copy_only=False).astype(bool)
-    keys = np.asarray(pa.compute.list_flatten(group.column("bands"))).reshape(len(node), BANDS)
+    keys = np.asarray(pa.compute.list_flatten(group.column("bands"))).reshape(len(node), BANDS) if band[0] >= 0 else None
     first, second = group.column("first").to_numpy(zero_copy_only=False).astype(bool), group.column("second").to_numpy(zero_copy_only=False).astype(bool)
     sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), "<u2").reshape(len(node), -1)
     small = [np.frombuffer(x, "<u4") for x in group.column("small").to_pylist()]
@@ -248,7 +250,8 @@ def _late_links(group: pa.Table) -> pa.Table:
         fits = ((first & second[i]) | (second & first[i])) & (lower | lower[i]) & (root != root[i]) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n) & (late > i)
         at = np.flatnonzero(fits)
         at = at[(sig[at] == sig[i]).sum(axis=1) >= least]
-        at = at[(keys[at] == keys[i]).argmax(axis=1) == band[i]]
+        if keys is not None:
+            at = at[(keys[at] == keys[i]).argmax(axis=1) == band[i]]
         own = small[i]
         for k in at.tolist():
             other = small[k]
@@ -285,12 +288,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     several = filled.join(repeated.filter("low <> high").select("doc_id"), "doc_id").join(classes.select("digest", "node"), "digest")
     own_links = several.select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
 
-    keyed = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    keyed = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     buckets = keyed.groupBy("key").agg(F.first("band").alias("band"), F.min("node").alias("lead"), F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("k > 1")
     # buckets with the same members ask the same question: the one of the first band stays
     buckets = buckets.groupBy("lead", "k", "x").agg(F.min(F.struct("band", "key")).alias("first")).select("lead", "k", "first.key")
     buckets, p_buckets = stored(buckets, "buckets")
-    within, p_within = stored(keyed.hint("merge").join(buckets, "key").select("key", "band", "node", "lead", "k"), "within")
+    within, p_within = stored(keyed.hint("merge").join(buckets, "key").select("key", "band", "node", "n", "lead", "k"), "within")
     # merge joins wherever texts, sets or band keys meet, so that the plan is the same at every size
     texts = docs.hint("merge").join(within.select(F.col("node").alias("doc_id")).distinct(), "doc_id")
     texts = texts.distinct() if repeats else texts
@@ -302,22 +305,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links, p_links = stored(links.unionByName(own_links) if repeats else links, "links")
     first, p_first = components(links)
 
-    rooted = within.alias("w").join(first.alias("c"), F.col("w.node") == F.col("c.node"), "left").select("w.key", "w.band", "w.node", "w.k", F.coalesce("c.root", "w.node").alias("root"))
+    rooted = within.alias("w").join(first.alias("c"), F.col("w.node") == F.col("c.node"), "left").select("w.*", F.coalesce("c.root", "w.node").alias("root"))
     rooted, p_rooted = stored(rooted, "rooted")
-    undecided = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    # the star decided buckets of two members. A bucket is split by set sizes: a group holds the members of a size class and of the next one, and those of one
-    # component or without the lower class ask nothing
-    sized = rooted.filter("k > 2").join(undecided, "key").join(classes.select("node", "n"), "node").select("key", "band", "node", "root", "n")
+    # the star decided buckets of two members
+    undecided = rooted.filter("k > 2").groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    # the opened buckets of a lead are one group (key 0, band -1) if its pairs are no more than theirs: a bucket's k rows of k add up to k * k
+    members = rooted.join(undecided, "key").groupBy("lead", "node").agg(F.min("root").alias("root"), F.min("n").alias("n"), F.sum("k").alias("pairs"), F.collect_list(F.struct("key", "band")).alias("met"))
+    members, p_members = stored(members, "members")
+    leads = members.groupBy("lead").agg((F.count("*") * F.count("*") <= F.sum("pairs")).alias("one"))
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("key"), F.lit(-1).alias("band")))
+    sized = members.hint("merge").join(leads, "lead").select("lead", F.explode(F.when(F.col("one"), alone).otherwise(F.col("met"))).alias("at"), "node", "root", "n").select("lead", "at.*", "node", "root", "n")
+    # a group is split by set sizes: a part holds the members of a size class and of the next one, and those of one component or without the lower class ask nothing
     size_class = F.floor(F.log(F.col("n")) / float(np.log(SIZE_CLASS))).cast("int")
     spread = sized.withColumn("c", size_class).withColumn("g", F.explode(F.array(F.col("c"), F.col("c") - 1))).withColumn("lower", F.col("c") == F.col("g"))
     spread, p_spread = stored(spread, "spread")
-    groups = spread.groupBy("key", "g").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("lower").alias("any")).filter("low <> high and any")
-    opened = spread.hint("merge").join(groups.select("key", "g", "m"), ["key", "g"]).join(classes.select("node", "signature", "bands"), "node").join(sets.select("node", "small").hint("merge"), "node")
-    opened = opened.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    part = ["lead", "key", "g"]
+    roots = spread.groupBy(*part, "root").agg(F.count("*").alias("m"), F.max("lower").alias("any"))
+    groups = roots.groupBy(*part).agg(F.sum("m").alias("m"), F.max(F.struct("m", "root")).alias("main"), F.max("any").alias("any")).filter("m > main.m and any")
+    groups = groups.select(*part, F.col("main.root").alias("main"), F.ceil((F.col("m") - F.col("main.m")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("main.m") / BLOCK).cast("int").alias("inner"))
+    opened = spread.hint("merge").join(groups, part).join(classes.select("node", "signature", "bands"), "node").join(sets.select("node", "small").hint("merge"), "node")
+    # the blocks of the largest component come after the others, and meet those alone
+    inside, at = F.col("root") == F.col("main"), F.xxhash64("node")
+    opened = opened.withColumn("own", F.when(inside, F.col("outer") + F.pmod(at, F.col("inner"))).otherwise(F.pmod(at, F.col("outer"))).cast("int"))
+    opened = opened.withColumn("blocks", F.col("outer") + F.when(inside, 0).otherwise(F.col("inner"))).withColumn("bands", F.when(F.col("band") >= 0, F.col("bands")))
     opened = opened.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     opened = opened.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    opened = opened.select("key", "g", "i", "j", "band", "node", "root", "n", "lower", "signature", "bands", "small", (F.col("own") == F.col("i")).alias("first"), (F.col("own") == F.col("j")).alias("second"))
-    more = map_groups(opened, ["key", "g", "i", "j"], _late_links, "a long, b long").distinct()
+    opened = opened.select(*part, "i", "j", "band", "node", "root", "n", "lower", "signature", "bands", "small", (F.col("own") == F.col("i")).alias("first"), (F.col("own") == F.col("j")).alias("second"))
+    more = map_groups(opened, [*part, "i", "j"], _late_links, "a long, b long").distinct()
     late, p_late = stored(verified(more, sets), "links")
     final, p_final = components(links.unionByName(late))
 
@@ -328,5 +342,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = base.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")
     out, _ = stored(out.select("doc_id", "n_shingles", component).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "near")
-    drop(spark, p_base, p_classes, p_repeated, p_buckets, p_within, p_sets, p_links, p_rooted, p_spread, p_late, *p_first, *p_final)
+    drop(spark, p_base, p_classes, p_repeated, p_buckets, p_within, p_sets, p_links, p_rooted, p_members, p_spread, p_late, *p_first, *p_final)
     return out

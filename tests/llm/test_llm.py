@@ -852,6 +852,31 @@ def test_near_duplicates_of_many_sizes_in_one_bucket(spark, monkeypatch):
     assert (place(upper) - place(sizes)).max() <= 1
 
 
+def test_near_duplicates_open_a_large_group_in_rows_that_follow_its_size(spark, monkeypatch):
+    """Four times the near copies of one text, beside the same texts that share buckets with them and aren't linked: the rows that are compared grow like the copies, not like their square."""
+    rng = random.Random(31)
+    base = [f"w{i}" for i in range(120)]
+
+    def edited(n):
+        return " ".join(f"x{rng.randrange(9**9)}" if i in at else w for at in [set(rng.sample(range(120), n))] for i, w in enumerate(base))
+
+    opened, run = [], near_dup.map_groups
+
+    def counted(df, *rest):
+        opened.append((df.count(), df.select("node").distinct().count()))
+        return run(df, *rest)
+
+    monkeypatch.setattr(near_dup, "map_groups", counted)
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    for copies in (50, 200):
+        texts = [" ".join(base)] + [edited(2) for _ in range(copies)] + [edited(5) for _ in range(12)]
+        found = [(i, t) for i, t in enumerate(texts)]
+        got = sorted(tuple(r.values()) for r in rows(near_dup.near_duplicates(spark.createDataFrame(found, "doc_id long, text string"))))
+        assert got == brute_force_components(found)
+    assert opened[1][1] > 3 * opened[0][1] > 100
+    assert opened[1][0] < 6 * opened[0][0] and opened[1][0] < 10 * opened[1][1], opened
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 400, dtype=np.uint64)
